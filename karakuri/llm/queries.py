@@ -1,0 +1,8 @@
+"""The registered queries of this subpackage and the SQL that checks them."""
+
+from __future__ import annotations
+
+from karakuri.llm.simhash import op7_simhash
+
+QUERIES = {"op7_simhash": op7_simhash}
+ORACLE_SQL: dict[str, str] = {}
