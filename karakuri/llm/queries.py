@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from karakuri.llm.quality import op1_quality
 from karakuri.llm.simhash import op7_simhash
 
-QUERIES = {"op7_simhash": op7_simhash}
+QUERIES = {"op1_quality": op1_quality, "op7_simhash": op7_simhash}
 ORACLE_SQL: dict[str, str] = {}
