@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from karakuri.llm.html_text import op3_html_text
 from karakuri.llm.quality import op1_quality
 from karakuri.llm.simhash import op7_simhash
 
-QUERIES = {"op1_quality": op1_quality, "op7_simhash": op7_simhash}
+QUERIES = {"op1_quality": op1_quality, "op3_html_text": op3_html_text, "op7_simhash": op7_simhash}
 ORACLE_SQL: dict[str, str] = {}
