@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from karakuri.llm.decontaminate import op8_decontaminate
 from karakuri.llm.html_text import op3_html_text
 from karakuri.llm.licenses import op6_license_scan
 from karakuri.llm.packing import op4_best_fit_packing
@@ -10,5 +11,5 @@ from karakuri.llm.quality import op1_quality
 from karakuri.llm.sharding import op2_histogram_shards
 from karakuri.llm.simhash import op7_simhash
 
-QUERIES = {"op1_quality": op1_quality, "op2_histogram_shards": op2_histogram_shards, "op3_html_text": op3_html_text, "op4_best_fit_packing": op4_best_fit_packing, "op6_license_scan": op6_license_scan, "op7_simhash": op7_simhash, "op10_pii": op10_pii}
+QUERIES = {"op1_quality": op1_quality, "op2_histogram_shards": op2_histogram_shards, "op3_html_text": op3_html_text, "op4_best_fit_packing": op4_best_fit_packing, "op6_license_scan": op6_license_scan, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
