@@ -88,7 +88,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bad = pairs.withColumns({"_a": most("theirs"), "_b": most("ours")}).where("_a > 1 OR _b > 1").groupBy("doc", "item", "shift").agg(F.collect_set(F.struct("theirs", "ours")).alias("bad"))
     same = (F.col("l.doc").eqNullSafe(F.col("r.doc"))) & (F.col("l.item") == F.col("r.item")) & (F.col("l.shift") == F.col("r.shift"))
     filled = F.arrays_zip(F.col("l.item_slots").alias("item_slots"), F.col("l.slots").alias("slots"))
-    clash = F.exists(filled, lambda z: F.exists(F.col("r.bad"), lambda b: (b["theirs"] == z["item_slots"]) & (b["ours"] == z["slots"])))
+    clash = F.exists(filled, lambda z: F.exists(F.col("r.bad"), lambda b: b["theirs"].eqNullSafe(z["item_slots"]) & b["ours"].eqNullSafe(z["slots"])))
     agreed = hit.alias("l").join(bad.alias("r"), same, "left").where(F.col("r.bad").isNull() | ~clash).select("l.*")
     differs = F.exists(F.arrays_zip("item_slots", "slots"), lambda z: ~z["item_slots"].eqNullSafe(z["slots"]))
     aligned = agreed.groupBy("doc", "item", "of", "shift").agg(F.countDistinct("item_at").alias("n"), F.max(F.coalesce(differs, F.lit(False))).alias("reworded"))
