@@ -151,6 +151,11 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id; repeated rows of it stay once."""
-    kept = near_duplicates(docs).where(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near-duplicates stays: the one with the smallest id.
+
+    Rows equal in id and text stay once; of rows without an id, one for each text stays.
+    """
+    found = near_duplicates(docs).where(F.col("id") == F.col("component"))
+    kept = found.select(F.col("id").alias("doc_id"), F.lit(True).alias("_kept")).distinct()
+    joined = docs.join(kept, "doc_id", "left").where(F.col("_kept") | F.col("doc_id").isNull())
+    return joined.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
