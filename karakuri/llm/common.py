@@ -45,3 +45,12 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     ensure_checkpoint_dir(spark)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def where_computed(df: DataFrame, condition: str) -> DataFrame:
+    """df.where(condition), without the optimiser moving the filter below the columns that it reads.
+
+    Moved, it would compute their expressions a second time, and nested ones many times. A filter on what an outer
+    explode makes stays where it is.
+    """
+    return df.withColumn("_one", F.explode_outer(F.when(F.expr(condition), F.array(F.lit(True))))).where("_one IS NOT NULL").drop("_one")

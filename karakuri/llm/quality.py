@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from karakuri.llm.common import cut, table, words
+from karakuri.llm.common import cut, table, where_computed, words
 
 #: Buckets of the hashed n-grams; also the length of the weight table, which is all that is sent around.
 BUCKETS = 1 << 16
@@ -127,4 +127,4 @@ def op1_quality(spark, sf_dir: str) -> DataFrame:
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; the others stay as they are."""
     scored = quality_scores(docs, ratio_weights(docs, table(spark, sf_dir, "labels")))
-    return scored.where("kept").select(*docs.columns)
+    return where_computed(scored, "kept").select(*docs.columns)
