@@ -7,10 +7,11 @@ from karakuri.llm.html_text import op3_html_text
 from karakuri.llm.licenses import op6_license_scan
 from karakuri.llm.packing import op4_best_fit_packing
 from karakuri.llm.pii import op10_pii
+from karakuri.llm.ppm import op5_ppm
 from karakuri.llm.quality import op1_quality
 from karakuri.llm.repeats import op9_repeats
 from karakuri.llm.sharding import op2_histogram_shards
 from karakuri.llm.simhash import op7_simhash
 
-QUERIES = {"op1_quality": op1_quality, "op2_histogram_shards": op2_histogram_shards, "op3_html_text": op3_html_text, "op4_best_fit_packing": op4_best_fit_packing, "op6_license_scan": op6_license_scan, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_repeats": op9_repeats, "op10_pii": op10_pii}
+QUERIES = {"op1_quality": op1_quality, "op2_histogram_shards": op2_histogram_shards, "op3_html_text": op3_html_text, "op4_best_fit_packing": op4_best_fit_packing, "op5_ppm": op5_ppm, "op6_license_scan": op6_license_scan, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_repeats": op9_repeats, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
