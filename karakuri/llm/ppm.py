@@ -6,15 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from karakuri.llm.common import shared_folder, table
-from karakuri.llm.repeats import _shuffles_freed
+from karakuri.llm.repeats import _Hashes, _shuffles_freed
 
 #: Bytes of context at most.
 ORDER = 5
 #: The trie's nodes at most. A node stays if its count is at least the smallest power of two that keeps to this; it is 1
 #: as long as all nodes fit. This bounds what is sent to the workers, not what is counted or scored.
-NODES = 4_000_000
+NODES = 3_000_000
 #: Text in one block, and the least number of blocks; a block is what one Python worker holds at a time.
 BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 48
 #: The end of a text; also stands for what is before its start. It is never part of UTF-8.
@@ -39,14 +40,24 @@ def _windows(texts):
     return np.ndarray((max(0, len(raw) - 7),), "<u8", raw, 0, (1,)), at, starts
 
 
+def _slices(texts):
+    """The texts in lists of about _CHUNK bytes."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t) + 1
+        if size >= _CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def count_block(texts) -> tuple:
     """The distinct (ORDER + 1)-byte windows of canonical texts, and their counts."""
     import numpy as np
 
-    wide, at, _ = _windows(texts)
-    parts = []
-    for s in range(0, len(at), 4 * _CHUNK):
-        parts.append(np.unique(wide[at[s : s + 4 * _CHUNK]] >> np.uint64(8 * (7 - ORDER)), return_counts=True))
+    parts = [np.unique(wide[at] >> np.uint64(8 * (7 - ORDER)), return_counts=True) for wide, at, _ in map(_windows, _slices(texts))]
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keys, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -173,11 +184,11 @@ class Trie:
         """The log10 probability of each canonical text and its END."""
         import numpy as np
 
-        wide, at, starts = _windows(texts)
-        sums = np.zeros(len(at) + 1)
-        for s in range(0, len(at), _CHUNK):
-            sums[s + 1 : s + 1 + _CHUNK] = self.log10(wide[at[s : s + _CHUNK]])
-        return np.add.reduceat(sums[1:], starts[:-1]) if len(texts) else np.zeros(0)
+        out = [np.zeros(0)]
+        for part in _slices(texts):
+            wide, at, starts = _windows(part)
+            out.append(np.add.reduceat(self.log10(wide[at]).astype(np.float64), starts[:-1]))
+        return np.concatenate(out)
 
 
 def trie_nodes(grams: DataFrame, budget: int = NODES) -> list:
@@ -185,7 +196,7 @@ def trie_nodes(grams: DataFrame, budget: int = NODES) -> list:
     import numpy as np
 
     shorter = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright("gram", 8 * (ORDER - k)).alias("key")) for k in range(ORDER + 1)]))
-    nodes = written(grams.select(shorter.alias("x"), "n").groupBy("x.k", "x.key").agg(F.sum("n").alias("n")))
+    nodes, path = written(grams.select(shorter.alias("x"), "n").groupBy("x.k", "x.key").agg(F.sum("n").alias("n")))
     sizes = sorted(nodes.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect(), reverse=True)
     least, held = 0, 0
     for b, count in sizes:
@@ -194,6 +205,7 @@ def trie_nodes(grams: DataFrame, budget: int = NODES) -> list:
             break
         held += count
     kept = nodes.where(F.col("n") >= F.lit(1 << least)).toArrow()
+    removed(nodes.sparkSession, path)
     k, key, n = (kept.column(x).to_numpy() for x in ("k", "key", "n"))
     out = []
     for order in range(ORDER + 1):
@@ -203,17 +215,31 @@ def trie_nodes(grams: DataFrame, budget: int = NODES) -> list:
     return out
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written as a table in the shared folder and read again."""
-    df.write.parquet(path := f"{shared_folder(df.sparkSession)}/ppm-{uuid.uuid4().hex}")
-    return df.sparkSession.read.parquet(path)
+def written(df: DataFrame, *partitions: str) -> tuple[DataFrame, str]:
+    """df written as a table in the shared folder and read again, and where it is."""
+    df.write.partitionBy(*partitions).parquet(path := f"{shared_folder(df.sparkSession)}/ppm-{uuid.uuid4().hex}")
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark, path: str) -> None:
+    """Delete a table that written() made and nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _hashed(words):
+    """The words' hashes as signed longs."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def score_documents(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for every document.
 
     train: an SQL condition on docs; the documents that meet it are learnt from. Tokens are the words in lower case
-    (A-Z), and one end. base_score adds up log10 of the smoothed share of each token among the training tokens; score is
+    (A-Z), and one end; they are told apart by 64 bits of hash. base_score adds up log10 of the smoothed share of each token among the training tokens; score is
     the trie's log10 probability of the words joined by one space, and the end. A null text counts as empty, rows with
     null or repeated ids are each scored, without training documents every byte is equally likely; an empty table gives an empty result.
     """
@@ -232,38 +258,34 @@ def score_documents(docs: DataFrame, train: str, id_col: str = "doc_id", text_co
         import numpy as np
         import pyarrow as pa
 
-        everything, known, texts = set(), Counter(), []
+        everything, texts = Counter(), []
         for text, train in zip(data.column("text").cast(pa.binary()).to_pylist(), data.column("train").to_pylist()):
             words = canonical(text)
-            everything.update(words)
+            for w in words:
+                everything[w] += train
             if train:
-                known.update(words)
                 texts.append(b" ".join(words))
-        keys, counts = count_block(texts)
-        words, n = sorted(everything), len(keys)
-        # One row for each word of the block, even if it isn't learnt from; one for its training texts; one for each gram.
-        columns = [
-            pa.array(["w"] * len(words) + ["d"] + ["g"] * n), pa.repeat(data.column("block")[0], len(words) + 1 + n),
-            pa.array([*words, None], pa.binary()), pa.array(np.concatenate((np.zeros(len(words) + 1, np.int64), keys.astype(np.int64)))),
-            pa.array(np.concatenate((np.fromiter((known[w] for w in words), np.int64, len(words)), [len(texts)], counts)).astype(np.int64)),
-        ]
-        columns[2] = pa.concat_arrays([columns[2], pa.nulls(n, pa.binary())])
-        return pa.table(columns, names=["kind", "block", "word", "gram", "n"])
+        grams, counts = count_block(texts)
+        hashes, held = _hashed(everything), np.fromiter(everything.values(), np.int64, len(everything))
+        # A row for each word of the block, even if it isn't learnt from; one for its training texts; one for each gram.
+        return pa.table({
+            "kind": pa.array(["w"]).take(pa.array(np.zeros(len(held), np.int8))).to_pylist() + ["d"] + ["g"] * len(grams),
+            "block": pa.repeat(data.column("block")[0], len(held) + 1 + len(grams)),
+            "key": np.concatenate((hashes, [0], grams.astype(np.int64))),
+            "n": np.concatenate((held, [len(texts)], counts)),
+        })
 
     by_block = placed.groupBy("block")
     with _shuffles_freed(spark):
-        learnt = by_block.applyInArrow(learn, "kind string, block int, word binary, gram bigint, n bigint")
-        learnt.write.partitionBy("kind").parquet(path := f"{shared_folder(spark)}/ppm-{uuid.uuid4().hex}")
-        schema = "block int, word binary, gram bigint, n bigint, kind string"
-        learnt = spark.read.schema(schema).parquet(path)
-        grams = learnt.where("kind = 'g'").groupBy("gram").agg(F.sum("n").alias("n"))
-        trie = spark.sparkContext.broadcast(Trie(trie_nodes(grams)))
-        words = learnt.where("kind = 'w'")
-        counts = written(words.groupBy("word").agg(F.sum("n").alias("c")))
+        learnt, path = written(by_block.applyInArrow(learn, "kind string, block int, key bigint, n bigint"), "kind")
         texts = learnt.where("kind = 'd'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-        seen = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+        trie = spark.sparkContext.broadcast(Trie(trie_nodes(learnt.where("kind = 'g'").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")))))
+        word = Window.partitionBy("key")
+        known = learnt.where("kind = 'w'").select("block", "key", F.sum("n").over(word).alias("c"), (F.col("block") == F.min("block").over(word)).alias("first"))
+        needed, _ = written(known)
+        removed(spark, path)
+        seen = needed.where("first AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, distinct = seen["n"] + texts, seen["v"] + (texts > 0)
-    needed = words.join(counts, "word").select("block", "word", "c")
 
     def score(data, lookup):
         import numpy as np
@@ -271,12 +293,14 @@ def score_documents(docs: DataFrame, train: str, id_col: str = "doc_id", text_co
 
         if not data.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
-        count = dict(zip(lookup.column("word").to_pylist(), lookup.column("c").to_pylist()))
-        texts_, rows = [], []
+        keys, counts = (lookup.column(x).to_numpy() for x in ("key", "c"))
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        hashes, texts_, rows = _Hashes(), [], []
         scale = np.log10(n_all + distinct + 1)
         for text in data.column("text").cast(pa.binary()).to_pylist():
             tokens = canonical(text)
-            c = np.fromiter((count[w] for w in tokens), np.int64, len(tokens))
+            c = counts[np.searchsorted(keys, np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens)).view(np.int64))]
             base = float(np.log10(c + 1).sum() + np.log10(texts + 1) - scale * (len(tokens) + 1))
             rows.append((len(tokens) + 1, int((c > 0).sum()) + (texts > 0), base))
             texts_.append(b" ".join(tokens))
@@ -291,7 +315,7 @@ def score_documents(docs: DataFrame, train: str, id_col: str = "doc_id", text_co
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     types = [to_arrow_type(docs.schema[id_col].dataType), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return by_block.cogroup(needed.groupBy("block")).applyInArrow(score, schema)
+    return by_block.cogroup(needed.select("block", "key", "c").groupBy("block")).applyInArrow(score, schema)
 
 
 def op5_ppm(spark, sf_dir: str) -> DataFrame:
