@@ -101,12 +101,18 @@ def segments(tokenised: DataFrame, *keys: str) -> DataFrame:
 def parse(utterances: DataFrame, *keys: str, raw: str = "raw") -> DataFrame:
     """(keys, ord, matched, item_id, ...): every utterance's records in order; at least one for each utterance."""
     tokenised = with_tokens(utterances.select(*keys, raw), raw)
-    some = P.applied(segments(tokenised, *keys), segment_steps()).selectExpr(*keys, *_split(_SEGMENT))
+    some = _kept(P.applied(segments(tokenised, *keys), segment_steps()), keys, _SEGMENT)
     none = P.applied(tokenised.where(F.size("tokens") == 0).select(*keys, "compare", "display"), whole_steps())
-    none = none.withColumn("item_id", approx_match(F.col("jud_c"))["item_id"]).selectExpr(*keys, *_split(_WHOLE))
+    none = _kept(none.withColumn("item_id", approx_match(F.col("jud_c"))["item_id"]), keys, _WHOLE)
     return some.unionByName(none)
 
 
+def _kept(steps: DataFrame, keys, columns: str) -> DataFrame:
+    """The columns as rows of a generator. A filter on them stays above it; moved below, it would have the optimiser
+    write every step into the next, and their number would grow exponentially."""
+    return steps.selectExpr(*keys, f"inline_outer(array(struct({columns})))")
+
+
 def _split(columns: str) -> list[str]:
     """Comma-separated expressions, cut outside brackets and quotes."""
     out, depth, quoted, now = [], 0, False, ""

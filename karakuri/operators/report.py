@@ -60,4 +60,5 @@ def header_text() -> str:
 
 def record_lines() -> str:
     """SQL: category, line if any, and judgement, one to a line."""
-    return f"concat_ws(chr(10), category, nullif(line, ''), concat('判定: ', {status_label('status')}))"
+    judged = status_label("coalesce(status, 'unset')")
+    return f"concat_ws(chr(10), category, nullif(line, ''), concat('判定: ', {judged}))"
