@@ -89,7 +89,7 @@ def create(asked: DataFrame, millis: str, seed: str) -> DataFrame:
 def default_items(inspections: DataFrame, *keys: str) -> DataFrame:
     """Every checklist item, unset, for each inspection."""
     items = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(item).alias("item_id"), F.lit(name).alias("category"), F.lit("unset").alias("status")) for k, (_, item, name, _) in enumerate(dims.CHECKLIST)])
-    return inspections.select(*keys, F.explode(items).alias("i")).select(*keys, "i.*")
+    return inspections.select(*keys, F.explode(items).alias("_item")).select(*keys, "_item.*")
 
 
 def reconcile(items: DataFrame, key: str) -> DataFrame:
