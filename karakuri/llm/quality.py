@@ -101,7 +101,9 @@ def quality_scores(docs: DataFrame, weights: Column, text_col: str = "text", thr
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda s: F.translate(s, WHITE, "") != "")
-    out = _hashed(docs.withColumn("_t", text).withColumn("_lines", lines), "_t")
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
+    row = F.struct(*[c for c in docs.columns if c not in added]).alias("_row")  # out of the way of the names below
+    out = _hashed(docs.select(row, text.alias("_t"), lines.alias("_lines")), "_t")
     out = out.withColumn("_grams", _grams())
     out = out.withColumn("llr", F.aggregate("_grams", F.lit(0.0), lambda a, h: a + F.get(weights, F.pmod(h, F.lit(BUCKETS)).cast("int"))) / F.greatest(F.size("_grams"), F.lit(1)))
     for name, column in _repeated_words(REPEAT_WINDOW):
@@ -114,8 +116,7 @@ def quality_scores(docs: DataFrame, weights: Column, text_col: str = "text", thr
         "n_repeat_words": F.col("_repeat").cast("long"),
     }).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
-    return out.select(*[c for c in docs.columns if c not in added], *added)
+    return out.select("_row.*", *added)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
@@ -126,5 +127,6 @@ def op1_quality(spark, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; the others stay as they are."""
-    scored = quality_scores(docs, ratio_weights(docs, table(spark, sf_dir, "labels")))
-    return where_computed(scored, "kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
+    scored = quality_scores(rows, ratio_weights(docs, table(spark, sf_dir, "labels")))
+    return where_computed(scored, "kept").select("_doc.*")

@@ -18,13 +18,14 @@ _MIN, _ONES = -(1 << 63), (1 << 64) - 1
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds _k0 and _k1 (hashes of text and id, their sign flipped so that bits sort as unsigned) and _size."""
+    """_row, _k0 and _k1 (hashes of text and id, their sign flipped so that bits sort as unsigned) and _size."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumns({
-        "_k0": F.xxhash64(text).bitwiseXOR(F.lit(_MIN)),
-        "_k1": F.xxhash64(F.col(id_col)).bitwiseXOR(F.lit(_MIN)),
-        "_size": F.octet_length(text).cast("long") + 1,
-    })
+    return docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        F.xxhash64(text).bitwiseXOR(F.lit(_MIN)).alias("_k0"),
+        F.xxhash64(F.col(id_col)).bitwiseXOR(F.lit(_MIN)).alias("_k1"),
+        (F.octet_length(text).cast("long") + 1).alias("_size"),
+    )
 
 
 def _signed(x: int) -> int:
@@ -120,13 +121,13 @@ def histogram_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id",
 
     start = {s: bounds[s * parts][3] for s in range(shards)}
     places = [(i, i // parts, bounds[i][3] - start[i // parts]) for i in range(n)]
-    placed = docs.sparkSession.createDataFrame(places, "_part int, shard int, _base bigint")  # shards * PARTS rows at most
+    placed = docs.sparkSession.createDataFrame(places, "_part int, _shard int, _base bigint")  # shards * PARTS rows at most
     rank = F.row_number().over(Window.partitionBy("_part").orderBy("_k0", "_k1"))
     return (
         keyed.withColumn("_part", F.pandas_udf(part_of, "int")("_k0", "_k1"))
         .withColumn("_rank", rank)
         .join(F.broadcast(placed), "_part")
-        .select(*docs.columns, F.col("_size").alias("size"), "shard", (F.col("_base") + F.col("_rank") - 1).alias("slot"))
+        .select("_row.*", F.col("_size").alias("size"), F.col("_shard").alias("shard"), (F.col("_base") + F.col("_rank") - 1).alias("slot"))
     )
 
 

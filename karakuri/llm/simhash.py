@@ -156,6 +156,7 @@ def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows equal in id and text stay once; of rows without an id, one for each text stays.
     """
     found = near_duplicates(docs).where(F.col("id") == F.col("component"))
-    kept = found.select(F.col("id").alias("doc_id"), F.lit(True).alias("_kept")).distinct()
-    joined = docs.join(kept, "doc_id", "left").where(F.col("_kept") | F.col("doc_id").isNull())
-    return joined.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    kept = found.select(F.col("id").alias("_id"), F.lit(True).alias("_kept")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
+    joined = rows.join(kept, "_id", "left").where(F.col("_kept") | F.col("_id").isNull())
+    return joined.dropDuplicates(["_id", "_text"]).select("_doc.*")
