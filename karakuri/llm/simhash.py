@@ -98,8 +98,9 @@ def links(fps: DataFrame) -> DataFrame:
     guaranteed minimum of positional bytes; a posting list holds at most 2**(8*MAX_BITS) fingerprints.
     """
     keys = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("p"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(_position_masks())])
+    parts = max(8, -(-fps.count() // 20_000))  # a few bytes become many postings: what is read is no measure of the work
     lists = (
-        fps.select("fp", F.explode(keys).alias("k"))
+        fps.repartition(parts, "fp").select("fp", F.explode(keys).alias("k"))
         .groupBy("k.p", "k.key")
         .agg(F.collect_list("fp").alias("fps"))
         .where(F.size("fps") > 1)
@@ -137,7 +138,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     from karakuri.llm.common import cut
 
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    classes = prints.groupBy("fp").agg(F.min("id").alias("low"))
+    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("low")))
     stars = star_components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
     rooted = cut(classes.join(stars, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
