@@ -35,16 +35,18 @@ def tokens_of(texts: DataFrame, column: str = "compare", aliases=dims.ALIASES) -
     """
     spark = texts.sparkSession
     table = pieces(aliases)
-    shapes = sorted({r[:3] for r in table})
-    places = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(o).alias("o"), F.lit(m).alias("m")) for n, o, m in shapes])
+    lengths = F.array(*[F.lit(m) for m in sorted({r[2] for r in table})])
     known = F.broadcast(spark.createDataFrame(table, "n int, o int, m int, piece string, rank int, item_id string, alias string, d int"))  # a fixed dictionary
-    distinct = texts.select(column).where(F.col(column).isNotNull()).distinct()
-    at = distinct.where(F.length(column) > 0).select(column, F.explode(F.sequence(F.lit(0), F.length(column) - 1)).alias("start"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number: short texts make many places, so their bytes are no measure
+    distinct = texts.select(column).where(F.col(column).isNotNull()).distinct().repartition(parts, column)
+    at = distinct.where(F.length(column) > 0).select(column, F.explode(F.sequence(F.lit(0), F.length(column) - 1)).alias("p"))
     near = (
-        at.select(column, "start", F.explode(places).alias("s")).select(column, "start", "s.*")
-        .where(F.col("start") + F.col("n") <= F.length(column))
-        .withColumn("piece", F.substring(F.col(column), F.col("start") + F.col("o") + 1, F.col("m")))
-        .join(known, ["n", "o", "m", "piece"])
+        at.select(column, "p", F.explode(lengths).alias("m"))
+        .where(F.col("p") + F.col("m") <= F.length(column))
+        .select(column, "p", F.substring(F.col(column), F.col("p") + 1, F.col("m")).alias("piece"))
+        .join(known, "piece")
+        .withColumn("start", F.col("p") - F.col("o"))
+        .where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.length(column)))
         .select(column, "start", "n", "rank", "item_id", "alias", "d", hamming(F.substring(F.col(column), F.col("start") + 1, F.col("n")), F.col("alias")).alias("off"))
         .where(F.col("off") <= F.col("d"))
     )

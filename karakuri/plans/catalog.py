@@ -9,6 +9,7 @@ from karakuri.functions import portable as P
 from karakuri.operators import fold, parse, report, tokens
 from karakuri.plans import dims
 from karakuri.sources import json_store as store
+from karakuri.sources.tables import table
 from karakuri.sources.utterances import alternatives, utterances, utterances_sql
 
 QUERIES: dict = {}
@@ -26,10 +27,6 @@ def query(oracle: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def with_steps(source: str, steps: list[P.Step], select: str) -> str:
     """SQL that applies steps to an SQL source and selects from the last."""
     ctes, last = P.as_ctes("src", "s", steps)

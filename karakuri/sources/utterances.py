@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karakuri.plans import dims
+from karakuri.sources.tables import table
 
 _PLACES = ["フロント", "リア", "リヤ", "前", "後ろ", "インナー", "アウター", "右", "左", ""]
 _READING = "concat('CO', cast(v / cast(100 AS double) AS string), 'HC', cast(v AS string))"
@@ -39,7 +40,7 @@ def utterances_sql(events: str = "events") -> str:
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(utterances_sql("{events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return spark.sql(utterances_sql("{events}"), events=table(spark, sf_dir, "events"))
 
 
 def alternatives(said: DataFrame) -> DataFrame:
