@@ -10,8 +10,9 @@ from karakuri.llm.common import cut, table
 
 #: Canonical tokens per window, and how many of them must be plain words.
 WINDOW, PLAIN = 8, 4
-#: A document is contaminated by an item if slot-consistent windows cover so much of the item's windows.
-COVERAGE = 0.5
+#: A document is contaminated by an item if slot-consistent windows cover so much of the item's windows, or if they
+#: are as many as a run of RUN words has.
+COVERAGE, RUN = 0.5, 13
 #: The item windows are broadcast up to this many; beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 500_000
 
@@ -58,7 +59,7 @@ def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str
     return kept.join(kept.groupBy("item").agg(F.count("*").alias("of")), "item")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
     """(doc, item, n_windows, of, coverage, reworded): the documents that hold an item, however its slots are filled.
 
     Words are compared in lower case without punctuation; numbers, names and units become typed placeholders. A window
@@ -95,7 +96,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     best = aligned.groupBy("doc", "item", "of").agg(F.max(F.struct("n", F.col("reworded"))).alias("b"))
     return (
         best.select("doc", "item", F.col("b.n").alias("n_windows"), "of", (F.col("b.n") / F.col("of")).alias("coverage"), F.coalesce("b.reworded", F.lit(False)).alias("reworded"))
-        .where(F.col("coverage") >= coverage)
+        .where((F.col("coverage") >= coverage) | (F.col("n_windows") > run - WINDOW))
     )
 
 
