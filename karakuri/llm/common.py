@@ -7,14 +7,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from karakuri.sources.tables import table  # noqa: F401  the operators' queries read with it
+
 #: Runs of the white space that separates words, as a regular expression for the JVM and for Python.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by spark.checkpoint.dir; only a session that names none (tests) gets a local one."""
     sc = spark.sparkContext
@@ -35,12 +33,6 @@ def words(text) -> F.Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def tasks_for(df: DataFrame, column: str, bytes_per_task: int) -> tuple[int, int]:
-    """Total UTF-8 bytes of a column, and how many tasks of bytes_per_task hold them."""
-    total = df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first()["b"]
-    return total, max(1, -(-total // bytes_per_task))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     ensure_checkpoint_dir(spark)
