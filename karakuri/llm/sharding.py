@@ -45,18 +45,16 @@ def find_splitters(keys: DataFrame, targets: list[tuple[float, float]]) -> list[
         if not open_:
             break
         ranges = sorted({v[0] for v in open_.values()})
-        name = F.lit(None).cast("int")
-        for i, (b0, p0, b1, p1) in enumerate(ranges):
-            inside = F.lit(True)
-            if b0:
-                inside = inside & (F.shiftrightunsigned("_k0", 64 - b0) == F.lit(_signed(p0)))
-            if b1:
-                inside = inside & (F.shiftrightunsigned("_k1", 64 - b1) == F.lit(_signed(p1)))
-            name = F.when(inside, F.lit(i)).otherwise(name)
-        bits = ranges[0][2 * which]  # all open ranges are equally deep
+        b0, _, b1, _ = ranges[0]  # all open ranges are equally deep
+        within = keys.withColumn("r", F.lit(0))
+        if b0:
+            prefix = [F.shiftrightunsigned("_k0", 64 - b0).alias("p0"), (F.shiftrightunsigned("_k1", 64 - b1) if b1 else F.lit(0).cast("long")).alias("p1")]
+            known = keys.sparkSession.createDataFrame([(i, _signed(p0), _signed(p1)) for i, (_, p0, _, p1) in enumerate(ranges)], "r int, p0 bigint, p1 bigint")
+            within = keys.select("*", *prefix).join(F.broadcast(known), ["p0", "p1"])  # a row for each open target at most
+        bits = ranges[0][2 * which]
         digit = F.shiftrightunsigned(f"_k{which}", 64 - bits - width).bitwiseAND(F.lit((1 << width) - 1))
         counts: dict[int, list] = {}
-        for r in keys.select(name.alias("r"), digit.alias("d"), "_size").where("r IS NOT NULL").groupBy("r", "d").agg(F.sum("_size").alias("b"), F.count("*").alias("n")).collect():
+        for r in within.select("r", digit.alias("d"), "_size").groupBy("r", "d").agg(F.sum("_size").alias("b"), F.count("*").alias("n")).collect():
             counts.setdefault(r["r"], []).append((r["d"], r["b"], r["n"]))
         for x in counts.values():
             x.sort()
