@@ -11,6 +11,8 @@ from karakuri.llm.common import table
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Documents are packed in groups of about this many tokens, dealt out by a hash of their id.
 GROUP_TOKENS = 2_000_000
+#: Tasks at most; a task packs its groups one after another.
+TASKS = 20_000
 
 
 def sequence_cost(capacity: int) -> float:
@@ -71,7 +73,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = (
         sized.select(id_col, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / most))).alias("piece"))
         .select(id_col, "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most), F.col("n") - F.col("piece") * most).alias("length"), F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups)).alias("bin"))
-        .repartition(groups, "bin")
+        .repartition(min(groups, TASKS), "bin")
         .sortWithinPartitions("bin", F.desc("length"), id_col, "piece")
     )
     names = [id_col, "piece", "start", "length", "bin", "capacity", "offset"]
