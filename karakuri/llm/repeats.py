@@ -202,8 +202,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     blocks = max(LEAST_BLOCKS, -(-total // BLOCK_BYTES))
-    bits = min(12, max(6, (blocks - 1).bit_length()))
-    marks = rows.agg(F.percentile_approx("id", [i / blocks for i in range(1, blocks)], 20 * blocks).alias("m")).first()["m"] or []
+    bits = min(16, max(6, (blocks - 1).bit_length()))
+    marks = rows.agg(F.percentile_approx("id", [i / blocks for i in range(1, blocks)], min(20 * blocks, 2_000_000)).alias("m")).first()["m"] or []
     marks = sorted(set(marks))
 
     def block_of(ids):
