@@ -9,6 +9,7 @@ from karakuri.functions import portable as P
 from karakuri.operators import fold, parse, report, tokens
 from karakuri.plans import dims
 from karakuri.sources import json_store as store
+from karakuri.sources import sinks
 from karakuri.sources.tables import table
 from karakuri.sources.utterances import alternatives, utterances, utterances_sql
 
@@ -381,3 +382,40 @@ def date_display(spark, sf_dir):
 @query(f"SELECT status, label, css, ui_ord FROM {dims.values([(s, label, css, k) for k, (s, label, css) in enumerate(dims.STATUSES)], 'status, label, css, ui_ord')}")
 def status_labels(spark, sf_dir):
     return dims.status_dim(spark).select("status", "label", "css", "ui_ord")
+
+
+_NAMED = f"SELECT event_id, ts, name AS event_name, CASE WHEN user_id % 4 = 0 THEN 'test' ELSE 'app' END AS host FROM {{events}} JOIN {dims.values([*enumerate(dims.APP_EVENTS), (6, 'unknown')], 'k, name')} ON k = event_id % 7"
+
+
+@query(f"SELECT event_name, count(*) AS n, count(DISTINCT ts) AS times FROM ({_NAMED.format(events='events')}) WHERE host = 'app' AND event_name <> 'unknown' GROUP BY event_name")
+def app_event_counts(spark, sf_dir):
+    """Payload-free events of one host, by name."""
+    kept = sinks.app_events(spark.sql(_NAMED, events=table(spark, sf_dir, "events")), "app")
+    return kept.groupBy("event_name").agg(F.count("*").alias("n"), F.countDistinct("ts").alias("times"))
+
+
+@query(f"{_PARSES} SELECT uid, item_id, match_type, status, custom_name FROM parses WHERE ord = 0")
+def first_parse(spark, sf_dir):
+    """The first record of each utterance."""
+    return parsed(spark, sf_dir).where("ord = 0").select("uid", "item_id", "match_type", "status", "custom_name")
+
+
+@query(f"SELECT uid, CASE WHEN j_w IS NULL THEN compare ELSE j_c END AS without_judgement, {P.without('compare', 'compare', 'found')} AS without_item FROM (SELECT *, {P.first_contained('compare', dims.ALIASES)} AS found FROM ({with_steps(_SAID, _JUDGED, '*')}))")
+def alias_removal(spark, sf_dir):
+    """Texts less the first place of their judgement, and less that of their item."""
+    found = P.applied(said(spark, sf_dir), [*_JUDGED, {"found": P.first_contained("compare", dims.ALIASES)}])
+    return found.selectExpr("uid", "j_c AS without_judgement", f"{P.without('compare', 'compare', 'found')} AS without_item")
+
+
+_TYPED = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat(' ', cast(event_id % 50 AS string), '.5 ') WHEN 1 THEN '' WHEN 2 THEN 'abc' ELSE cast(event_id AS string) END AS typed FROM {events}"
+
+
+@query(f"SELECT event_id, try_cast({P.trimmed('typed')} AS double) AS value FROM ({_TYPED.format(events='events')})")
+def typed_numbers(spark, sf_dir):
+    return spark.sql(_TYPED, events=table(spark, sf_dir, "events")).select("event_id", store.typed_value(F.col("typed")).alias("value"))
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus = 'P' AS is_custom FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderstatus = 'P')")
+def custom_delete(spark, sf_dir):
+    items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "P").alias("is_custom"))
+    return store.delete_custom(items, items.where("id % 3 = 0"), "id")

@@ -113,3 +113,14 @@ def edited(items: DataFrame, edits: DataFrame, *keys: str) -> DataFrame:
     replaced = ["status", "front_rear", "left_right", "inner_outer", "value", "note"]
     new = edits.select(*keys, F.struct(*replaced).alias("_new"))
     return items.join(new, list(keys), "left").select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in replaced else F.col(c) for c in items.columns])
+
+
+def delete_custom(items: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
+    """Items less those named, of which only custom ones can go."""
+    named = gone.select(*keys).distinct().withColumn("_gone", F.lit(True))
+    return items.join(named, list(keys), "left").where(~(F.coalesce("_gone", F.lit(False)) & F.coalesce("is_custom", F.lit(False)))).drop("_gone")
+
+
+def typed_value(raw: Column) -> Column:
+    """A number typed into a form; null if it is blank or no number."""
+    return trimmed(raw).try_cast("double")

@@ -176,3 +176,14 @@ def test_portable_steps_alike_in_both_engines(spark):
     other = duckdb.sql(f"WITH src AS (SELECT * FROM (VALUES {rows}) AS t(compare)), {', '.join(ctes)} SELECT {columns} FROM {last}").fetchall()
     mine = P.applied(spark.createDataFrame([(t,) for t in texts], "compare string"), steps).selectExpr(*columns.split(", ")).collect()
     assert sorted(map(str, map(tuple, mine))) == sorted(map(str, other))
+
+
+def test_sinks(spark, tmp_path):
+    from karakuri.sources import sinks
+
+    sinks.write_memos(spark.createDataFrame([("a", "x\ny"), ("b", "z")], "id string, memo string"), str(tmp_path / "memos"), "id")
+    assert {r["id"] for r in spark.read.text(str(tmp_path / "memos")).collect()} == {"a", "b"}
+    events = spark.sql("SELECT * FROM VALUES ('summary_view', 'app', now()), ('other', 'app', now()), ('summary_view', 'test', now()) AS t(event_name, host, ts)")
+    for _ in range(2):
+        sinks.append_events(events, str(tmp_path / "events"), "app")
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "events")).groupBy("event_name").count().collect()] == [("summary_view", 2)]
