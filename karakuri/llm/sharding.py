@@ -12,6 +12,8 @@ from karakuri.llm.common import cut, table
 DIGITS = [(0, 12), *[(0, 8)] * 6, (0, 4), *[(1, 8)] * 8]
 #: How far the bytes below a shard's boundary may be from the even share, in shares.
 TOLERANCE = 0.001
+#: A group of equal texts is parted only if a boundary beside it would be off by more than so many tolerances.
+GROUP_TOLERANCES = 20
 #: Rows of one shard are sorted in parts of about this many bytes, at most PARTS of them to a shard.
 PART_BYTES, PARTS = 64 << 20, 1024
 _MIN, _ONES = -(1 << 63), (1 << 64) - 1
@@ -67,10 +69,12 @@ def find_splitters(keys: DataFrame, targets: list[tuple[float, float]]) -> list[
                 if abs(below - target) <= allowed or below >= target:
                     found[j] = (*start, below, rows)
                     break
-                if n == 1 and below + b > target + allowed:  # a single row: the nearer of its two sides
+                near = min(target - below, below + b - target)
+                whole = n == 1 or which == 0 and deeper[0] == 64 and near <= GROUP_TOLERANCES * allowed
+                if whole and below + b > target + allowed:  # a single row, or a group: the nearer of its two sides
                     if below + b - target < target - below:
                         up = (deeper[1] + 1 << (64 - deeper[0]), 0) if which == 0 else (start[0], deeper[3] + 1 << (64 - deeper[2]))
-                        found[j] = (min(up[0], _ONES), min(up[1], _ONES), below + b, rows + 1)
+                        found[j] = (min(up[0], _ONES), min(up[1], _ONES), below + b, rows + n)
                     else:
                         found[j] = (*start, below, rows)
                     break
@@ -89,8 +93,9 @@ def histogram_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id",
     """docs plus size, shard (0 to shards - 1) and slot (0, 1, ... within the shard, in key order), near equal in bytes.
 
     size is the text's UTF-8 bytes plus 1 (a null text has none). Rows are ordered by the hash of their text, then of
-    their id, so equal texts are neighbours and part only where a shard must end inside their group. Rows equal in text
-    and id can't be told apart and stay together; null ids are an id of their own; an empty table gives an empty result.
+    their id, so equal texts are neighbours, and part only where a shard would else be off by over GROUP_TOLERANCES
+    tolerances. Rows equal in text and id can't be told apart and stay together; null ids are an id of their own; an
+    empty table gives an empty result.
     """
     added = ["size", "shard", "slot"]
     docs = docs.drop(*added)

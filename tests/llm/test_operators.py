@@ -93,7 +93,7 @@ def test_shards_are_whole_even_and_gapless(spark):
         slots[x["shard"]].append(x["slot"])
         largest = max(largest, x["size"])
     mean = sum(size.values()) / 16
-    assert sorted(size) == list(range(16)) and all(abs(s - mean) <= largest + mean * 0.002 for s in size.values())
+    assert sorted(size) == list(range(16)) and all(abs(s - mean) <= largest + mean * 2 * sharding.GROUP_TOLERANCES * sharding.TOLERANCE for s in size.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     where = defaultdict(set)
     for x in placed:
