@@ -20,7 +20,7 @@ NODES = 3_000_000
 BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 48
 #: The end of a text; also stands for what is before its start. It is never part of UTF-8.
 END = 0xFF
-_CHUNK, _MIX = 1 << 20, 0x9E3779B97F4A7C15
+_CHUNK, _MIX = 1 << 19, 0x9E3779B97F4A7C15
 
 
 def canonical(text: bytes | None) -> list[bytes]:
@@ -108,7 +108,7 @@ class Trie:
         keys, k = self.keys[ORDER], ORDER
         context = np.searchsorted(self.contexts[k], keys & np.uint64((1 << 8 * k) - 1))
         value = self.count[k] - self.total[k][context]
-        self.bits = max(8, int(2 * len(keys)).bit_length())
+        self.bits = max(8, int(1.4 * len(keys)).bit_length())
         size = 1 << self.bits
         self.slots, self.values = np.full(size, (1 << 64) - 1, np.uint64), np.zeros(size, np.float32)
         at, todo = (keys * np.uint64(_MIX) >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(keys))
@@ -120,6 +120,7 @@ class Trie:
             self.slots[at[won]], self.values[at[won]] = keys[won], value[won]
             todo = np.setdiff1d(todo, won, assume_unique=True)
             at[todo] = (at[todo] + 1) & (size - 1)
+        self.keys[k] = self.count[k] = None  # the table has them
 
     def _find(self, table, keys):
         import numpy as np
@@ -160,12 +161,13 @@ class Trie:
         longer, above = np.zeros(n, bool), np.zeros(n, np.int64)  # whether the longer context is known, and which it is
         for k in range(ORDER, -1, -1):
             key = wide >> np.uint64(8 * (7 - k))
-            node, seen = self._find(self.keys[k], key)
             context, known = self._find(self.contexts[k], key & np.uint64((1 << 8 * k) - 1))
-            seen &= ~done
+            seen = np.zeros(n, bool)
             if k < ORDER:
+                node, seen = self._find(self.keys[k], key)
+                seen &= ~done
                 low, low_escape = self.low[k + 1][above] if len(self.low[k + 1]) else 0, self.low_escape[k + 1][above] if len(self.low[k + 1]) else 0
-            else:
+            else:  # its symbols are in the table
                 low = low_escape = 0
             if seen.any():
                 whole = np.where(longer, low, self.total[k][context] if len(self.total[k]) else 0)
@@ -215,9 +217,9 @@ def trie_nodes(grams: DataFrame, budget: int = NODES) -> list:
     return out
 
 
-def written(df: DataFrame, *partitions: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df written as a table in the shared folder and read again, and where it is."""
-    df.write.partitionBy(*partitions).parquet(path := f"{shared_folder(df.sparkSession)}/ppm-{uuid.uuid4().hex}")
+    df.write.parquet(path := f"{shared_folder(df.sparkSession)}/ppm-{uuid.uuid4().hex}")
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -265,19 +267,21 @@ def score_documents(docs: DataFrame, train: str, id_col: str = "doc_id", text_co
                 everything[w] += train
             if train:
                 texts.append(b" ".join(words))
-        grams, counts = count_block(texts)
+        learnt_from, (grams, counts) = len(texts), count_block(texts)
         hashes, held = _hashed(everything), np.fromiter(everything.values(), np.int64, len(everything))
+        del texts, everything
+        pa.default_memory_pool().release_unused()
         # A row for each word of the block, even if it isn't learnt from; one for its training texts; one for each gram.
         return pa.table({
             "kind": pa.array(["w"]).take(pa.array(np.zeros(len(held), np.int8))).to_pylist() + ["d"] + ["g"] * len(grams),
             "block": pa.repeat(data.column("block")[0], len(held) + 1 + len(grams)),
             "key": np.concatenate((hashes, [0], grams.astype(np.int64))),
-            "n": np.concatenate((held, [len(texts)], counts)),
+            "n": np.concatenate((held, [learnt_from], counts)),
         })
 
     by_block = placed.groupBy("block")
     with _shuffles_freed(spark):
-        learnt, path = written(by_block.applyInArrow(learn, "kind string, block int, key bigint, n bigint"), "kind")
+        learnt, path = written(by_block.applyInArrow(learn, "kind string, block int, key bigint, n bigint"))
         texts = learnt.where("kind = 'd'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
         trie = spark.sparkContext.broadcast(Trie(trie_nodes(learnt.where("kind = 'g'").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")))))
         word = Window.partitionBy("key")
@@ -306,6 +310,8 @@ def score_documents(docs: DataFrame, train: str, id_col: str = "doc_id", text_co
             texts_.append(b" ".join(tokens))
         n_tokens, n_known, base = zip(*rows)
         held = [not x for x in data.column("train").to_pylist()]
+        del hashes, keys, counts, order
+        pa.default_memory_pool().release_unused()
         values = [data.column("id"), held, n_tokens, n_known, [n_all] * len(rows), base, trie.value.scores(texts_)]
         return pa.table([values[0], *(pa.array(v, t) for v, t in zip(values[1:], types[1:]))], names=names)
 
