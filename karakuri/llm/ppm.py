@@ -13,9 +13,6 @@ from karakuri.llm.repeats import _Hashes, _shuffles_freed
 
 #: Bytes of context at most.
 ORDER = 5
-#: The trie's nodes at most. A node stays if its count is at least the smallest power of two that keeps to this; it is 1
-#: as long as all nodes fit. This bounds what is sent to the workers, not what is counted or scored.
-NODES = 3_000_000
 #: Text in one block, and the least number of blocks; a block is what one Python worker holds at a time.
 BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 48
 #: The end of a text; also stands for what is before its start. It is never part of UTF-8.
@@ -193,20 +190,13 @@ class Trie:
         return np.concatenate(out)
 
 
-def trie_nodes(grams: DataFrame, budget: int = NODES) -> list:
-    """(gram, n) counts -> sorted keys and counts of every order, at most budget nodes, on the driver."""
+def trie_nodes(grams: DataFrame) -> list:
+    """(gram, n) counts -> sorted keys and counts of every node of every order, on the driver."""
     import numpy as np
 
     shorter = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright("gram", 8 * (ORDER - k)).alias("key")) for k in range(ORDER + 1)]))
     nodes, path = written(grams.select(shorter.alias("x"), "n").groupBy("x.k", "x.key").agg(F.sum("n").alias("n")))
-    sizes = sorted(nodes.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect(), reverse=True)
-    least, held = 0, 0
-    for b, count in sizes:
-        if held + count > budget:
-            least = b + 1
-            break
-        held += count
-    kept = nodes.where(F.col("n") >= F.lit(1 << least)).toArrow()
+    kept = nodes.toArrow()
     removed(nodes.sparkSession, path)
     k, key, n = (kept.column(x).to_numpy() for x in ("k", "key", "n"))
     out = []
