@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from karakuri.llm.common import shared_folder, table
 from karakuri.llm.decontaminate import decontamination_stage
+from karakuri.llm.near_copies import near_copy_stage
 from karakuri.llm.packing import packing_stage
 from karakuri.llm.pii import pii_stage
 from karakuri.llm.quality import quality_stage
-from karakuri.llm.simhash import near_duplicate_stage
 
 STAGES = [
     ("quality_rules", quality_stage),
-    ("near_dedup", near_duplicate_stage),
+    ("near_dedup", near_copy_stage),
     ("decontamination", decontamination_stage),
     ("pii", pii_stage),
     ("packing", packing_stage),
