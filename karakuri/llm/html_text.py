@@ -12,7 +12,8 @@ from karakuri.llm.common import table
 
 # HTML element names by their part in the flow of text.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN = "script style noscript template textarea select option button svg math iframe object canvas audio video head"
+RAW = "script style textarea iframe title"  # their text is not markup; left open, they run to the end of the page
+HIDDEN = set("noscript template select option button svg math object canvas audio video".split())  # only up to their end tag
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ARTICLE = {"article", "main"}
@@ -22,7 +23,7 @@ BOILER_WORDS = set("ad ads advert adverts advertisement banner sponsor sponsored
 ARTICLE_WORDS = set("article content main post entry story body articlebody".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<hide>" + "|".join(HIDDEN.split()) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</(?P=hide)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<hide>" + "|".join(RAW.split()) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</(?P=hide)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
@@ -122,14 +123,29 @@ def blocks(html: str) -> list[tuple[str, list]]:
         text.clear()
         linked = 0
 
-    for m in TOKEN.finditer(html):
+    tokens_ = list(TOKEN.finditer(html))
+    opened, ends = {}, {}  # hidden elements left open so far, by name; where those that are closed end
+    for k, m in enumerate(tokens_):
+        name = (m["name"] or "").lower()
+        if name in HIDDEN and m["close"]:
+            if opened.get(name):
+                ends[opened[name].pop()] = k
+        elif name in HIDDEN and not m["attrs"].endswith("/"):
+            opened.setdefault(name, []).append(k)
+    until = -1
+    for k, m in enumerate(tokens_):
+        if k <= until:
+            continue
+        if k in ends:
+            until = ends[k]
+            continue
         if (piece := m["text"]) is not None:
             text.append(piece)
             if link:
                 linked += len(piece.split())
             continue
         name = (m["name"] or "").lower()
-        if not name:
+        if not name or name in HIDDEN:
             continue
         if name == "a":
             link = int(not m["close"])
