@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +16,17 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; only a session that names none (tests) gets a local one."""
+    """Use the shared folder named by spark.checkpoint.dir. Only on one machine (master local[...]), where every folder is
+    shared, one is made if none is named; a cluster without one is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or f"/tmp/checkpoints/karakuri-{os.getpid()}")
+    if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="karakuri-")
+    sc.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,6 +46,31 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as a table in the shared folder and read again, and where it is."""
+    df.write.parquet(path := f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that written() made and nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Shuffle files go as soon as the query that wrote them has ended, where Spark has that setting."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def where_computed(df: DataFrame, condition: str) -> DataFrame:
     """df.where(condition), without the optimiser moving the filter below the columns that it reads.
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from karakuri.llm.common import shared_folder, table
-from karakuri.llm.repeats import _Hashes, _shuffles_freed
+from karakuri.llm.common import shuffles_freed
+from karakuri.llm.repeats import _Hashes
 
 #: Bytes of context at most.
 ORDER = 5
@@ -270,7 +271,7 @@ def score_documents(docs: DataFrame, train: str, id_col: str = "doc_id", text_co
         })
 
     by_block = placed.groupBy("block")
-    with _shuffles_freed(spark):
+    with shuffles_freed(spark):
         learnt, path = written(by_block.applyInArrow(learn, "kind string, block int, key bigint, n bigint"))
         texts = learnt.where("kind = 'd'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
         trie = spark.sparkContext.broadcast(Trie(trie_nodes(learnt.where("kind = 'g'").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")))))

@@ -14,7 +14,7 @@ from hashlib import sha256
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karakuri.llm.common import cut, table
+from karakuri.llm.common import cut, shuffles_freed, table
 
 #: Words in a repeat at least; every run of so many words holds a whole anchor of the document it is compared with.
 WINDOW = 13
@@ -178,18 +178,6 @@ def _answer(data):
     return _table(out, ANSWER)
 
 
-@contextmanager
-def _shuffles_freed(spark):
-    """Shuffle files go as soon as the query that wrote them has ended, where Spark has that setting."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept): each document's words without repeats, joined by one space.
 
@@ -265,7 +253,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table(columns, names=["id", "n_words", "n_removed", "kept"])
 
     by_block = placed.groupBy("block")
-    with _shuffles_freed(spark):
+    with shuffles_freed(spark):
         told = cut(by_block.applyInArrow(ask_probes, ASKED).groupBy("bucket").applyInArrow(_answer, ANSWER))
         asked = by_block.cogroup(told.groupBy("block")).applyInArrow(ask_windows, ASKED)
         told = told.unionByName(cut(asked.groupBy("bucket").applyInArrow(_answer, ANSWER)))

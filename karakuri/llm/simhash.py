@@ -7,18 +7,26 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karakuri.llm.common import table
+from karakuri.llm.common import cut, table
 from karakuri.llm.components import star_components
 
 BYTES, MAX_BITS = 8, 2
 #: Two fingerprints that differ in at most MAX_BITS bits agree in at least so many of their positional bytes.
 MIN_SHARED = BYTES - MAX_BITS
+#: The byte positions in pairs. MAX_BITS flipped bits spoil that many pairs at most, so two pairs are left unchanged.
+PAIRS = [(0, 1), (2, 3), (4, 5), (6, 7)]
+#: Lists of more fingerprints than this are posted once more, under two more of their bytes.
+LONG = 512
 
 
-def _position_masks() -> list[int]:
-    """One signed 64-bit mask for each set of MIN_SHARED byte positions."""
-    masks = [sum(0xFF << (8 * p) for p in keep) for keep in combinations(range(BYTES), MIN_SHARED)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def _mask(positions) -> int:
+    """The bytes at these positions as a signed 64-bit mask."""
+    m = sum(0xFF << (8 * p) for p in positions)
+    return m - (1 << 64) if m >> 63 else m
+
+
+#: The positions of each posting key: every two of the pairs.
+KEYS = [a + b for a, b in combinations(PAIRS, 2)]
 
 
 def fingerprint_of(text: bytes | None, shingle: int = 3) -> bytes:
@@ -54,23 +62,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
+def _near(a, b):
+    """Which pairs of fingerprints share MIN_SHARED positional bytes at least (the tally) and, of these, are within MAX_BITS bits."""
+    import numpy as np
+
+    diff = np.ascontiguousarray(a ^ b)
+    shared = (diff.view(np.uint8).reshape(*diff.shape, BYTES) == 0).sum(axis=-1)
+    near = shared >= MIN_SHARED
+    near[near] = np.bitwise_count(diff[near].view(np.uint64)) <= MAX_BITS
+    return near
+
+
 def _link(members) -> list[tuple[int, int]]:
-    """Links of one posting list (fingerprints that agree in MIN_SHARED byte positions) as a spanning forest.
+    """Links of one posting list as a spanning forest.
 
-    Short lists tally the shared positional bytes of their pairs. In long ones the members differ in MAX_BITS bytes at
-    most, so each looks up its neighbours at one and two flipped bits of those bytes instead: the same links, and work
-    in proportion to the list.
+    Short lists tally the shared positional bytes of their pairs. Longer ones agree in MIN_SHARED positions (they were
+    posted under so many), so their members differ in MAX_BITS bytes at most, and each looks up its neighbours at one
+    and two flipped bits of those bytes: the same links, and work in proportion to the list.
     """
     import numpy as np
 
-    x = np.unique(np.asarray(members, np.int64).view(np.uint64))
+    x = np.unique(np.asarray(members, np.int64))
     n = len(x)
-    if n <= 512:
-        diff = x[:, None] ^ x[None, :]
-        shared = (diff.view(np.uint8).reshape(n, n, BYTES) == 0).sum(axis=2)
-        at, to = np.nonzero((shared >= MIN_SHARED) & (np.bitwise_count(diff) <= MAX_BITS))
+    if n <= LONG:
+        at, to = np.nonzero(_near(x[:, None], x[None, :]))
     else:
-        free = [np.uint64(1 << k) for k in range(64) if int(np.bitwise_or.reduce(x ^ x[0])) >> k & 1]
+        free = [np.int64(_signed(1 << k)) for k in range(64) if int(np.bitwise_or.reduce(x ^ x[0])) >> k & 1]
         flips = [*free, *(p | q for p, q in combinations(free, 2))]
         pairs = []
         for f in flips:
@@ -87,45 +104,66 @@ def _link(members) -> list[tuple[int, int]]:
         if (low == label).all():
             break
         label = low
-    out = x.view(np.int64)
-    return [(int(out[i]), int(out[r])) for i, r in enumerate(label) if i != r]
+    return [(int(x[i]), int(x[r])) for i, r in enumerate(label) if i != r]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _linked(batches):
+    """Arrow batches of posting lists -> batches of their links."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        column = batch.column(0)
+        flat, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+        starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        two = ends - starts == 2
+        a, b = flat[starts[two]], flat[starts[two] + 1]
+        near = _near(a, b)
+        found = [(int(p), int(q)) for p, q in zip(a[near], b[near])]
+        for s, e in zip(starts[~two], ends[~two]):
+            found += _link(flat[s:e])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) -> (a, b) pairs that connect just what fingerprints within MAX_BITS bits connect.
 
-    Each fingerprint is posted under every set of MIN_SHARED byte positions, which is where two postings share the
-    guaranteed minimum of positional bytes; a posting list holds at most 2**(8*MAX_BITS) fingerprints.
+    The index holds each fingerprint under the bytes at every two of the four pairs of positions: two fingerprints
+    within MAX_BITS bits meet in one list at least. In a list the shared positional bytes of its pairs are tallied;
+    those with fewer than MIN_SHARED go, the others are verified. A list of more than LONG members is not compared but
+    posted anew under every two more of its bytes, where two near members meet again, and where a list holds
+    2**(8 * MAX_BITS) fingerprints at most.
     """
-    keys = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("p"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(_position_masks())])
-    parts = max(8, -(-fps.count() // 20_000))  # a few bytes become many postings: what is read is no measure of the work
-    lists = (
-        fps.repartition(parts, "fp").select("fp", F.explode(keys).alias("k"))
-        .groupBy("k.p", "k.key")
-        .agg(F.collect_list("fp").alias("fps"))
-        .where(F.size("fps") > 1)
-        .select("fps")
+    parts = max(8, -(-fps.count() // 100_000))  # a few bytes become many postings: what is read is no measure of the work
+
+    def posted(df, keys):
+        under = F.explode(F.array(*[F.struct(F.lit(i).alias("p"), F.col("fp").bitwiseAND(F.lit(_mask(k))).alias("key")) for i, k in enumerate(keys)]))
+        return df.select("fp", under.alias("k")).select("fp", "k.p", "k.key")
+
+    short = posted(fps.repartition(parts, "fp"), KEYS)
+    hot = short.groupBy("p", "key").agg(F.count("*").alias("n")).where(F.col("n") > LONG).select("p", "key")
+    hot = cut(hot)  # (p, key) of the few long lists
+    lists = short.join(hot, ["p", "key"], "left_anti").groupBy("p", "key").agg(F.collect_list("fp").alias("fps"))
+    deeper = [(i, set(k) | set(two)) for i, k in enumerate(KEYS) for two in combinations(sorted(set(range(BYTES)) - set(k)), MIN_SHARED - len(k))]
+    again = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(j).alias("q"), F.col("fp").bitwiseAND(F.lit(_mask(k))).alias("key")) for j, (i, k) in enumerate(deeper)])
+    long_ = (
+        short.join(hot, ["p", "key"], "left_semi")
+        .select("fp", "p", F.explode(again).alias("k")).where("k.p = p")
+        .groupBy("k.q", "k.key").agg(F.collect_list("fp").alias("fps"))
     )
+    every = lists.select("fps").unionByName(long_.select("fps")).where(F.size("fps") > 1)
+    return every.mapInArrow(_linked, "a bigint, b bigint").distinct()
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        for batch in batches:
-            column = batch.column(0)
-            flat, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
-            starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-            two = ends - starts == 2
-            a, b = flat[starts[two]], flat[starts[two] + 1]
-            diff = np.ascontiguousarray(a ^ b)
-            shared = (diff.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
-            near = (shared >= MIN_SHARED) & (np.bitwise_count(diff.view(np.uint64)) <= MAX_BITS)
-            found = [(int(p), int(q)) for p, q in zip(a[near], b[near])]
-            for s, e in zip(starts[~two], ends[~two]):
-                found += _link(flat[s:e])
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return lists.mapInArrow(run, "a bigint, b bigint").distinct()
+def rooted_classes(prints: DataFrame, low) -> DataFrame:
+    """(fp, low, root) for every distinct fingerprint of prints: low (an aggregate), and its component's smallest one."""
+    classes = cut(prints.groupBy("fp").agg(low.alias("low")))
+    stars = star_components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
+    return cut(classes.join(stars, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -133,14 +171,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows with equal fingerprints form one class, so a group of copies of any size is one node of the graph. A null text
     counts as empty (fingerprint 0, linked like any other), repeated rows stay, rows with a null id stay and get the
-    component of their class, an empty table gives an empty result, other columns are ignored.
+    component of their class (null if no row of it has an id), texts of any length are read whole, an empty table gives
+    an empty result, other columns are ignored whatever their names.
     """
-    from karakuri.llm.common import cut
-
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("low")))
-    stars = star_components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = cut(classes.join(stars, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    rooted = rooted_classes(prints, F.min("id"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
     named = rooted.join(lows, "root").select("fp", "component")
     return prints.join(named, "fp").select("id", "fp", "component")
@@ -152,12 +187,16 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id.
+    """One row of each group of near-duplicates stays: the one with the smallest id, one without an id only if none has any.
 
-    Rows equal in id and text stay once; of rows without an id, one for each text stays.
+    Rows are told apart by id and text (64 bits of its hash), so a row goes or stays by its own text even if its id
+    repeats; rows equal in both stay once. A null text counts as empty; an empty table stays empty; columns keep their
+    names and order.
     """
-    found = near_duplicates(docs).where(F.col("id") == F.col("component"))
-    kept = found.select(F.col("id").alias("_id"), F.lit(True).alias("_kept")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
-    joined = rows.join(kept, "_id", "left").where(F.col("_kept") | F.col("_id").isNull())
-    return joined.dropDuplicates(["_id", "_text"]).select("_doc.*")
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).alias("node"), "text")
+    prints = cut(fingerprints(rows, "node"))
+    rooted = rooted_classes(prints, F.min("id"))
+    kept = rooted.groupBy("root").agg(F.min("low").alias("k")).select(F.col("k.none").alias("_none"), F.col("k.id").alias("_id"), F.col("k.h").alias("_h"))
+    found = rows.select("_doc", F.col("node.none").alias("none"), F.col("node.id").alias("id"), F.col("node.h").alias("h"))
+    same = (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("none") == F.col("_none"))
+    return found.join(kept, same, "left_semi").dropDuplicates(["none", "id", "h"]).select("_doc.*")

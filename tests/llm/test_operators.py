@@ -302,8 +302,34 @@ def test_near_duplicate_stage(spark, docs, pairs):
     kept = simhash.near_duplicate_stage(spark, docs, "")
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    roots = {c for i, _, c in brute.simhash_components(pairs) if i is not None}
-    assert sorted(i for i in ids if i is not None) == sorted(roots) and ids.count(None) == 2
+    found = brute.simhash_components(pairs)
+    roots = {c for i, _, c in found if i is not None}
+    alone = sum(c is None for *_, c in found)  # a text without an id stays unless a row with an id has it too
+    assert sorted(i for i in ids if i is not None) == sorted(roots) and ids.count(None) == alone == 1
+
+
+def test_near_duplicate_stage_judges_rows_not_ids(spark):
+    one, two = "a text of id three that is long enough to have some shingles", "another text of the same id as a copy"
+    rows = [(3, one), (5, one), (5, two), (None, one), (None, "nobody else says this at all"), (5, two)]
+    kept = simhash.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert bag(map(tuple, kept)) == bag([(3, one), (5, two), (None, "nobody else says this at all")])
+
+
+def test_long_lists_are_posted_again(spark, monkeypatch):
+    r = random.Random(9)
+    start = r.getrandbits(64)
+    members = {start ^ (r.getrandbits(24) << r.choice((0, 8, 40))) for _ in range(300)}
+    members |= {m ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for m in list(members)[:80]}
+    signed = sorted(m - (1 << 64) if m >> 63 else m for m in members)
+    near = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 2}
+    fps = spark.createDataFrame([(m,) for m in signed], "fp long")
+    groups = []
+    for long_ in (512, 4):
+        monkeypatch.setattr(simhash, "LONG", long_)
+        found = {(min(e["a"], e["b"]), max(e["a"], e["b"])) for e in simhash.links(fps).collect()}
+        groups.append({x["node"]: x["root"] for x in star_components(spark.createDataFrame(sorted(found), "a long, b long")).collect()})
+    want = {x["node"]: x["root"] for x in star_components(spark.createDataFrame(sorted(near), "a long, b long")).collect()}
+    assert groups[0] == groups[1] == want
 
 
 # 9 repeats
