@@ -22,47 +22,73 @@ BOILER = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 BOILER_WORDS = set("ad ads advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget pagination pager toolbar comment comments reply replies discussion respond disqus copyright legal disclaimer skip hidden contentinfo complementary search".split())
 ARTICLE_WORDS = set("article content main post entry story body articlebody".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<hide>" + "|".join(RAW.split()) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</(?P=hide)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
+STOP = re.compile("[\"'<>]")
+LEFT_OPEN = re.compile(r"</?[A-Za-z][A-Za-z0-9:-]*(?:\s*/?|\s[^<]*=[^<]*)\Z")
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW.split()}
 NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 UNSEEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boiler", "article", "heading", "header")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "named", "article", "heading")
 # Labelled blocks, written by hand: words and link density of the block, of the one before and of the one after; then
-# whether it stands in a boilerplate part, in an article part, in a heading, in a header; last whether it is main text.
+# whether class words name its part as boilerplate, whether it stands in an article part, in a heading; last whether it
+# is main text. Blocks in boilerplate elements, and in headers outside of articles, are no candidates and only count as
+# neighbours.
 LABELLED = [
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 8, 0.0, 1, 0, 0, 0, 0),
-    (8, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0, 0), (12, 0.1, 60, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (25, 0.0, 40, 0.0, 30, 0.0, 1, 0, 0, 0, 0),
-    (40, 0.0, 80, 0.0, 50, 0.0, 1, 1, 0, 0, 0), (15, 0.0, 70, 0.0, 20, 0.0, 1, 1, 0, 0, 0), (6, 0.0, 80, 0.0, 15, 0.0, 1, 1, 1, 0, 0),
-    (3, 0.0, 60, 0.0, 2, 1.0, 1, 1, 0, 0, 0), (90, 0.0, 12, 0.0, 3, 0.0, 1, 0, 0, 0, 0), (5, 0.0, 0, 0.0, 2, 1.0, 1, 0, 1, 1, 0),
-    (9, 0.0, 8, 0.0, 30, 0.0, 0, 1, 1, 0, 1), (2, 0.0, 8, 0.0, 60, 0.0, 0, 1, 1, 0, 1), (1, 0.0, 50, 0.0, 70, 0.0, 0, 1, 1, 0, 1),
-    (30, 0.0, 9, 0.0, 55, 0.0, 0, 1, 0, 0, 1), (80, 0.05, 30, 0.0, 20, 0.0, 0, 1, 0, 0, 1), (5, 0.0, 80, 0.0, 60, 0.0, 0, 1, 0, 0, 1),
-    (1, 0.0, 40, 0.0, 12, 0.0, 0, 1, 0, 0, 1), (3, 0.0, 4, 0.0, 2, 0.0, 0, 1, 0, 0, 1), (60, 0.2, 40, 0.0, 11, 0.1, 0, 1, 0, 0, 1),
-    (18, 0.3, 60, 0.0, 25, 0.2, 0, 1, 0, 0, 1), (2, 0.0, 9, 0.0, 0, 0.0, 0, 1, 0, 0, 1), (12, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 1),
-    (7, 0.0, 0, 0.0, 40, 0.0, 0, 1, 1, 1, 1), (12, 0.0, 4, 0.0, 35, 0.0, 0, 1, 0, 1, 1), (4, 0.0, 0, 0.0, 35, 0.0, 0, 1, 1, 1, 1),
-    (140, 0.0, 2, 0.0, 110, 0.0, 0, 1, 0, 0, 1), (55, 0.0, 90, 0.0, 2, 0.0, 0, 1, 0, 0, 1), (33, 0.0, 45, 0.0, 8, 0.0, 0, 1, 0, 0, 1),
-    (1, 0.0, 2, 0.0, 14, 0.0, 0, 1, 0, 0, 1), (2, 0.0, 33, 0.0, 1, 0.0, 0, 1, 0, 0, 1), (4, 0.0, 2, 0.0, 16, 0.1, 0, 1, 0, 0, 1),
-    (6, 0.0, 10, 0.0, 7, 0.0, 0, 1, 0, 0, 1), (20, 0.0, 3, 0.0, 4, 1.0, 0, 1, 0, 0, 1), (11, 0.0, 70, 0.0, 5, 0.3, 0, 1, 0, 0, 1),
-    (3, 0.0, 6, 0.0, 1, 0.0, 0, 1, 1, 0, 1), (10, 0.0, 25, 0.0, 2, 0.0, 0, 1, 1, 0, 1), (65, 0.0, 7, 0.0, 19, 0.0, 0, 1, 0, 0, 1),
-    (8, 0.0, 9, 0.0, 200, 0.0, 0, 1, 1, 0, 1), (250, 0.0, 180, 0.0, 90, 0.0, 0, 1, 0, 0, 1), (42, 0.0, 1, 1.0, 6, 0.0, 0, 1, 0, 0, 1),
-    (13, 0.0, 55, 0.0, 3, 0.0, 1, 0, 0, 0, 0), (45, 0.0, 2, 1.0, 60, 0.0, 1, 0, 0, 0, 0), (110, 0.0, 80, 0.0, 70, 0.0, 1, 1, 0, 0, 0),
-    (1, 0.0, 9, 0.0, 44, 0.0, 1, 0, 0, 0, 0), (22, 0.3, 100, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (30, 0.0, 12, 0.0, 90, 0.0, 1, 1, 0, 0, 0),
-    (65, 0.0, 33, 0.0, 28, 0.0, 1, 0, 0, 0, 0), (7, 0.0, 30, 0.0, 33, 0.0, 1, 0, 1, 0, 0), (18, 0.0, 22, 0.0, 41, 0.0, 1, 1, 0, 0, 0),
-    (2, 0.0, 40, 0.0, 3, 1.0, 0, 1, 0, 0, 1), (9, 0.0, 60, 0.0, 8, 0.8, 0, 1, 0, 0, 1), (5, 0.0, 4, 0.0, 2, 1.0, 0, 1, 0, 0, 1),
-    (14, 0.0, 33, 0.0, 12, 0.6, 0, 1, 0, 0, 1), (1, 0.0, 70, 0.0, 1, 1.0, 0, 1, 0, 0, 1), (3, 0.0, 9, 0.0, 5, 0.9, 0, 1, 1, 0, 1),
-    (3, 1.0, 50, 0.0, 2, 1.0, 0, 1, 0, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 0, 1, 0, 0, 0), (4, 0.9, 60, 0.0, 12, 0.1, 0, 1, 0, 0, 0),
-    (3, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 1, 0), (6, 0.0, 3, 0.0, 1, 1.0, 0, 0, 0, 1, 0), (5, 0.0, 0, 0.0, 30, 0.0, 0, 0, 1, 1, 0), (25, 0.1, 4, 0.0, 50, 0.0, 0, 0, 0, 1, 0),
-    (45, 0.0, 30, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (22, 0.1, 50, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (18, 0.0, 8, 0.0, 44, 0.0, 0, 0, 0, 0, 1),
-    (30, 0.0, 35, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (9, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (6, 0.0, 30, 0.0, 50, 0.0, 0, 0, 1, 0, 1),
-    (8, 0.0, 2, 1.0, 40, 0.0, 0, 0, 1, 0, 1), (4, 0.0, 6, 0.0, 45, 0.0, 0, 0, 1, 0, 1), (70, 0.2, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (16, 0.0, 0, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (24, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (4, 1.0, 30, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (20, 0.8, 3, 1.0, 18, 0.9, 0, 0, 0, 0, 0),
-    (12, 0.6, 40, 0.0, 9, 0.7, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0, 0, 0),
-    (7, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 5, 0.0, 0, 0, 1, 0, 0), (3, 0.0, 4, 0.0, 2, 1.0, 0, 0, 1, 0, 0),
-    (2, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (6, 0.2, 5, 0.0, 4, 0.5, 0, 0, 0, 0, 0),
+    (2, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (8, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0), (25, 0.0, 40, 0.0, 30, 0.0, 1, 0, 0, 0),
+    (15, 0.0, 70, 0.0, 20, 0.0, 1, 1, 0, 0), (3, 0.0, 60, 0.0, 2, 1.0, 1, 1, 0, 0), (9, 0.0, 8, 0.0, 30, 0.0, 0, 1, 1, 1),
+    (2, 0.0, 8, 0.0, 60, 0.0, 0, 1, 1, 1), (1, 0.0, 50, 0.0, 70, 0.0, 0, 1, 1, 1), (30, 0.0, 9, 0.0, 55, 0.0, 0, 1, 0, 1),
+    (80, 0.05, 30, 0.0, 20, 0.0, 0, 1, 0, 1), (5, 0.0, 80, 0.0, 60, 0.0, 0, 1, 0, 1), (1, 0.0, 40, 0.0, 12, 0.0, 0, 1, 0, 1),
+    (3, 0.0, 4, 0.0, 2, 0.0, 0, 1, 0, 1), (60, 0.2, 40, 0.0, 11, 0.1, 0, 1, 0, 1), (18, 0.3, 60, 0.0, 25, 0.2, 0, 1, 0, 1),
+    (2, 0.0, 9, 0.0, 0, 0.0, 0, 1, 0, 1), (12, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (7, 0.0, 0, 0.0, 40, 0.0, 0, 1, 1, 1),
+    (12, 0.0, 4, 0.0, 35, 0.0, 0, 1, 0, 1), (4, 0.0, 0, 0.0, 35, 0.0, 0, 1, 1, 1), (140, 0.0, 2, 0.0, 110, 0.0, 0, 1, 0, 1),
+    (55, 0.0, 90, 0.0, 2, 0.0, 0, 1, 0, 1), (33, 0.0, 45, 0.0, 8, 0.0, 0, 1, 0, 1), (1, 0.0, 2, 0.0, 14, 0.0, 0, 1, 0, 1),
+    (2, 0.0, 33, 0.0, 1, 0.0, 0, 1, 0, 1), (4, 0.0, 2, 0.0, 16, 0.1, 0, 1, 0, 1), (6, 0.0, 10, 0.0, 7, 0.0, 0, 1, 0, 1),
+    (20, 0.0, 3, 0.0, 4, 1.0, 0, 1, 0, 1), (11, 0.0, 70, 0.0, 5, 0.3, 0, 1, 0, 1), (3, 0.0, 6, 0.0, 1, 0.0, 0, 1, 1, 1),
+    (10, 0.0, 25, 0.0, 2, 0.0, 0, 1, 1, 1), (65, 0.0, 7, 0.0, 19, 0.0, 0, 1, 0, 1), (8, 0.0, 9, 0.0, 200, 0.0, 0, 1, 1, 1),
+    (250, 0.0, 180, 0.0, 90, 0.0, 0, 1, 0, 1), (42, 0.0, 1, 1.0, 6, 0.0, 0, 1, 0, 1), (45, 0.0, 2, 1.0, 60, 0.0, 1, 0, 0, 0),
+    (1, 0.0, 9, 0.0, 44, 0.0, 1, 0, 0, 0), (30, 0.0, 12, 0.0, 90, 0.0, 1, 1, 0, 0), (7, 0.0, 30, 0.0, 33, 0.0, 1, 0, 1, 0),
+    (2, 0.0, 40, 0.0, 3, 1.0, 0, 1, 0, 1), (9, 0.0, 60, 0.0, 8, 0.8, 0, 1, 0, 1), (5, 0.0, 4, 0.0, 2, 1.0, 0, 1, 0, 1),
+    (14, 0.0, 33, 0.0, 12, 0.6, 0, 1, 0, 1), (1, 0.0, 70, 0.0, 1, 1.0, 0, 1, 0, 1), (3, 0.0, 9, 0.0, 5, 0.9, 0, 1, 1, 1),
+    (3, 1.0, 50, 0.0, 2, 1.0, 0, 1, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 0, 1, 0, 0), (4, 0.9, 60, 0.0, 12, 0.1, 0, 1, 0, 0),
+    (45, 0.0, 30, 0.0, 60, 0.0, 0, 0, 0, 1), (22, 0.1, 50, 0.0, 40, 0.0, 0, 0, 0, 1), (18, 0.0, 8, 0.0, 44, 0.0, 0, 0, 0, 1),
+    (30, 0.0, 35, 0.0, 3, 1.0, 0, 0, 0, 1), (9, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 1), (6, 0.0, 30, 0.0, 50, 0.0, 0, 0, 1, 1),
+    (8, 0.0, 2, 1.0, 40, 0.0, 0, 0, 1, 1), (4, 0.0, 6, 0.0, 45, 0.0, 0, 0, 1, 1), (70, 0.2, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (16, 0.0, 0, 0.0, 40, 0.0, 0, 0, 0, 1), (24, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1), (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
+    (4, 1.0, 30, 0.0, 3, 1.0, 0, 0, 0, 0), (20, 0.8, 3, 1.0, 18, 0.9, 0, 0, 0, 0), (12, 0.6, 40, 0.0, 9, 0.7, 0, 0, 0, 0),
+    (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (5, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0, 0), (7, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (4, 0.0, 2, 1.0, 5, 0.0, 0, 0, 1, 0), (3, 0.0, 4, 0.0, 2, 1.0, 0, 0, 1, 0), (2, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0),
+    (6, 0.2, 5, 0.0, 4, 0.5, 0, 0, 0, 0), (130, 0.0, 3, 0.0, 90, 0.0, 1, 0, 0, 1), (160, 0.05, 40, 0.0, 20, 0.0, 1, 0, 0, 1),
+    (210, 0.1, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (120, 0.0, 8, 0.0, 2, 1.0, 1, 0, 0, 1), (60, 0.0, 20, 0.0, 30, 0.0, 1, 0, 0, 0),
+    (35, 0.0, 50, 0.0, 25, 0.0, 1, 0, 0, 0), (80, 0.0, 40, 0.0, 60, 0.0, 1, 0, 0, 0), (140, 0.0, 60, 0.0, 40, 0.0, 1, 1, 0, 0),
+    (100, 0.7, 4, 1.0, 6, 1.0, 1, 0, 0, 0), (4, 0.0, 60, 0.0, 55, 0.0, 0, 0, 0, 1), (2, 0.0, 45, 0.0, 38, 0.0, 0, 0, 0, 1),
+    (6, 0.0, 70, 0.0, 3, 0.0, 0, 0, 0, 1), (3, 0.0, 25, 0.0, 30, 0.0, 0, 0, 0, 1), (5, 0.0, 4, 0.0, 80, 0.0, 0, 0, 0, 1),
+    (8, 0.0, 9, 0.0, 60, 0.0, 0, 0, 0, 1), (4, 0.0, 2, 1.0, 50, 0.0, 0, 0, 0, 1), (7, 0.0, 3, 1.0, 44, 0.0, 0, 0, 0, 1),
+    (5, 0.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0), (9, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (8, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0, 0),
+    (6, 0.0, 55, 0.0, 1, 1.0, 0, 0, 0, 0), (10, 0.0, 30, 0.9, 4, 1.0, 0, 0, 0, 0), (9, 0.0, 3, 0.0, 5, 0.0, 0, 0, 0, 0),
+    (5, 0.0, 6, 0.0, 7, 0.0, 0, 0, 0, 0), (12, 0.0, 2, 1.0, 6, 0.0, 0, 0, 0, 0), (14, 0.0, 6, 0.0, 50, 0.0, 0, 0, 0, 1),
+    (20, 0.0, 1, 1.0, 30, 0.0, 0, 0, 0, 1), (19, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 1), (28, 0.2, 35, 0.1, 2, 1.0, 0, 0, 0, 1),
+    (40, 0.5, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (25, 0.4, 3, 0.9, 20, 0.8, 0, 0, 0, 0), (35, 0.5, 60, 0.0, 70, 0.0, 0, 0, 0, 1),
+    (22, 0.45, 50, 0.0, 45, 0.1, 0, 0, 0, 1), (12, 0.4, 8, 0.8, 9, 0.9, 0, 0, 0, 0), (30, 0.6, 70, 0.0, 50, 0.0, 0, 1, 0, 1),
+    (25, 0.5, 40, 0.0, 60, 0.0, 0, 1, 0, 1), (8, 0.5, 50, 0.0, 40, 0.0, 0, 1, 0, 1), (15, 1.0, 60, 0.0, 30, 0.0, 0, 1, 0, 0),
+    (6, 1.0, 5, 1.0, 7, 1.0, 0, 1, 0, 0), (3, 0.0, 80, 0.0, 3, 1.0, 1, 0, 0, 0), (3, 0.0, 90, 0.0, 70, 0.0, 1, 0, 0, 0),
+    (3, 0.0, 12, 0.0, 45, 0.0, 1, 0, 0, 0), (3, 0.0, 2, 1.0, 50, 0.0, 1, 0, 0, 0), (3, 0.0, 9, 0.0, 11, 0.0, 1, 0, 0, 0),
+    (3, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 0), (10, 0.0, 80, 0.0, 3, 1.0, 1, 0, 0, 0), (10, 0.0, 90, 0.0, 70, 0.0, 1, 0, 0, 0),
+    (10, 0.0, 12, 0.0, 45, 0.0, 1, 0, 0, 0), (10, 0.0, 2, 1.0, 50, 0.0, 1, 0, 0, 0), (10, 0.0, 9, 0.0, 11, 0.0, 1, 0, 0, 0),
+    (10, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 0), (15, 0.0, 80, 0.0, 3, 1.0, 1, 0, 0, 0), (15, 0.0, 90, 0.0, 70, 0.0, 1, 0, 0, 0),
+    (15, 0.0, 12, 0.0, 45, 0.0, 1, 0, 0, 0), (15, 0.0, 2, 1.0, 50, 0.0, 1, 0, 0, 0), (15, 0.0, 9, 0.0, 11, 0.0, 1, 0, 0, 0),
+    (15, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 0), (26, 0.1, 80, 0.0, 3, 1.0, 1, 0, 0, 0), (26, 0.1, 90, 0.0, 70, 0.0, 1, 0, 0, 0),
+    (26, 0.1, 12, 0.0, 45, 0.0, 1, 0, 0, 0), (26, 0.1, 2, 1.0, 50, 0.0, 1, 0, 0, 0), (26, 0.1, 9, 0.0, 11, 0.0, 1, 0, 0, 0),
+    (26, 0.1, 70, 0.0, 0, 0.0, 1, 0, 0, 0), (50, 0.0, 80, 0.0, 3, 1.0, 1, 0, 0, 0), (50, 0.0, 90, 0.0, 70, 0.0, 1, 0, 0, 0),
+    (50, 0.0, 12, 0.0, 45, 0.0, 1, 0, 0, 0), (50, 0.0, 2, 1.0, 50, 0.0, 1, 0, 0, 0), (50, 0.0, 9, 0.0, 11, 0.0, 1, 0, 0, 0),
+    (50, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 0), (90, 0.0, 80, 0.0, 3, 1.0, 1, 0, 0, 0), (90, 0.0, 90, 0.0, 70, 0.0, 1, 0, 0, 0),
+    (90, 0.0, 12, 0.0, 45, 0.0, 1, 0, 0, 0), (90, 0.0, 2, 1.0, 50, 0.0, 1, 0, 0, 0), (90, 0.0, 9, 0.0, 11, 0.0, 1, 0, 0, 0),
+    (90, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 0), (11, 0.0, 120, 0.0, 0, 0.0, 0, 0, 0, 1), (6, 0.0, 80, 0.0, 9, 0.0, 0, 0, 0, 1),
+    (13, 0.0, 70, 0.0, 20, 0.0, 0, 0, 0, 1), (3, 0.0, 100, 0.0, 4, 0.0, 0, 0, 0, 1), (15, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (25, 0.0, 0, 0.0, 6, 0.0, 0, 0, 0, 1), (18, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0, 1), (40, 0.0, 3, 0.0, 60, 0.0, 0, 0, 0, 1),
+    (80, 0.0, 0, 0.0, 50, 0.0, 0, 0, 0, 1), (30, 0.0, 5, 0.0, 45, 0.0, 0, 0, 0, 1), (60, 0.1, 2, 1.0, 70, 0.0, 0, 0, 0, 1),
+    (24, 0.0, 0, 0.0, 90, 0.0, 0, 0, 0, 1), (22, 0.0, 4, 0.0, 38, 0.0, 0, 0, 0, 1), (50, 0.0, 1, 1.0, 20, 0.0, 0, 0, 0, 1),
+    (33, 0.0, 6, 0.0, 70, 0.1, 0, 0, 0, 1),
 ]
 
 
@@ -98,83 +124,163 @@ def is_main(tree, features) -> bool:
 
 
 def _part(name: str, attrs: str) -> str:
-    """Which part of a page an element opens: boiler, article, header or none."""
+    """Which part of a page an element opens: boiler, named (boilerplate by its class words alone), article, header or none.
+
+    Class words of both kinds on one element say nothing.
+    """
     if name in BOILER or UNSEEN.search(attrs):
         return "boiler"
     if name == "header":
         return "header"
+    if name in ARTICLE:
+        return "article"
     said = {w for m in NAMED.findall(attrs) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(m)).lower())}
-    if name not in ("html", "body") and said & BOILER_WORDS and not (name in ARTICLE):
-        return "header" if said & BOILER_WORDS <= {"header", "masthead"} else "boiler"
-    return "article" if name in ARTICLE or said & ARTICLE_WORDS else ""
+    if name in ("html", "body"):
+        return ""
+    if said & BOILER_WORDS and not said & ARTICLE_WORDS:
+        return "header" if said & BOILER_WORDS <= {"header", "masthead"} else "named"
+    return "article" if said & ARTICLE_WORDS and not said & BOILER_WORDS else ""
+
+
+def _tag_end(html: str, start: int) -> int:
+    """Where the tag that starts here ends, quotes counted; the place of a "<" before that; -1 if there is no end."""
+    at = start + 1
+    while m := STOP.search(html, at):
+        if m[0] == ">":
+            return m.end()
+        if m[0] == "<":
+            return m.start()
+        close = html.find(m[0], m.end())
+        if close < 0:
+            break
+        at = close + 1
+    return html.find(">", start) + 1 or -1
+
+
+def _tokens(html: str) -> list[tuple[str, str, str]]:
+    """(kind, name or text, attributes) of a page in order: text, open and close. One scan from the left; what has no end
+    is looked for once, and after that not again."""
+    out: list[tuple[str, str, str]] = []
+    at, n, ends, sections = 0, len(html), True, True  # whether a ">", and the end of a CDATA section, may still come
+    while at < n:
+        start = html.find("<", at)
+        if start < 0 or not ends:
+            out.append(("text", html[at:], ""))
+            break
+        if start > at:
+            out.append(("text", html[at:start], ""))
+        at = start + 1
+        if html.startswith("<!--", start):
+            close = html.find("-->", start + 4)
+            at = close + 3 if close >= 0 else n
+            continue
+        if sections and html.startswith("<![CDATA[", start):
+            close = html.find("]]>", start)
+            sections = close >= 0
+            if sections:
+                at = close + 3
+                continue
+        m = TAG.match(html, start)
+        if not m:
+            if html.startswith(("<!", "<?", "</"), start):
+                close = html.find(">", start)
+                ends = close >= 0
+                if ends:
+                    at = close + 1
+                    continue
+            out.append(("text", "<", ""))
+            continue
+        end = _tag_end(html, start)
+        ends = end >= 0
+        if not ends or html[end - 1] != ">" and not LEFT_OPEN.match(html[start:end]):
+            out.append(("text", "<", ""))
+            continue
+        name, attrs, at = m[1].lower(), html[m.end() : end].rstrip(">"), end
+        if html[start + 1] == "/":
+            out.append(("close", name, ""))
+        elif name in RAW_END:
+            if not attrs.endswith("/"):
+                m = RAW_END[name].search(html, end)
+                at = m.end() if m else n
+        else:
+            out.append(("open", name, attrs))
+    return out
 
 
 def blocks(html: str) -> list[tuple[str, list]]:
-    """The page's text blocks in order, each with its features. Block-level tags end a block, inline tags don't."""
+    """The page's text blocks in order, but for those in boilerplate elements and page headers, each with its features. Block-level tags
+    end a block, inline tags don't; a link goes on to its end tag, or where it has none to the end of its block."""
     found, stack, text, linked = [], [], [], 0
     link = heading = 0
-    parts = {"boiler": 0, "article": 0, "header": 0, "": 0}
+    closed = False  # whether the present link has an end tag
+    parts = {"boiler": 0, "named": 0, "article": 0, "header": 0, "": 0}
 
     def flush():
         nonlocal linked
         tokens = unescape("".join(text)).split()
         if tokens:
-            found.append((" ".join(tokens), len(tokens), min(1.0, linked / len(tokens)), int(parts["boiler"] > 0), int(parts["article"] > 0), int(heading > 0), int(parts["header"] > 0)))
+            candidate = not parts["boiler"] and (parts["article"] > 0 or not parts["header"])
+            found.append((candidate, " ".join(tokens), len(tokens), min(1.0, linked / len(tokens)), int(parts["named"] > 0), int(parts["article"] > 0), int(heading > 0)))
         text.clear()
         linked = 0
 
-    tokens_ = list(TOKEN.finditer(html))
+    tokens_ = _tokens(html)
     opened, ends = {}, {}  # hidden elements left open so far, by name; where those that are closed end
-    for k, m in enumerate(tokens_):
-        name = (m["name"] or "").lower()
-        if name in HIDDEN and m["close"]:
+    links, last = set(), None  # links that have an end tag
+    for k, (kind, name, attrs) in enumerate(tokens_):
+        if name in HIDDEN and kind == "close":
             if opened.get(name):
                 ends[opened[name].pop()] = k
-        elif name in HIDDEN and not m["attrs"].endswith("/"):
+        elif name in HIDDEN and kind == "open" and not attrs.endswith("/"):
             opened.setdefault(name, []).append(k)
+        elif name == "a" and kind == "open":
+            last = k
+        elif name == "a" and kind == "close" and last is not None:
+            links.add(last)
+            last = None
     until = -1
-    for k, m in enumerate(tokens_):
+    for k, (kind, name, attrs) in enumerate(tokens_):
         if k <= until:
             continue
         if k in ends:
             until = ends[k]
             continue
-        if (piece := m["text"]) is not None:
-            text.append(piece)
+        if kind == "text":
+            text.append(name)
             if link:
-                linked += len(piece.split())
+                linked += len(name.split())
             continue
-        name = (m["name"] or "").lower()
-        if not name or name in HIDDEN:
+        if name in HIDDEN:
             continue
         if name == "a":
-            link = int(not m["close"])
+            link, closed = int(kind == "open"), k in links
         if name == "br":
             text.append(" ")
         if name in INLINE:
             continue
         flush()
-        link = 0
+        link = int(link and closed)
         if name in HEADINGS:
-            heading = int(not m["close"])
-        if m["close"]:
+            heading = int(kind == "open")
+        if kind == "close":
             at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if at is not None:
                 for _, part in stack[at:]:
                     parts[part] -= 1
                 del stack[at:]
-        elif name not in VOID and name not in HEADINGS and name not in ("p", "li") and not m["attrs"].endswith("/"):
-            stack.append((name, part := _part(name, m["attrs"])))
+        elif name not in VOID and name not in HEADINGS and name not in ("p", "li") and not attrs.endswith("/"):
+            stack.append((name, part := _part(name, attrs)))
             parts[part] += 1
-        elif name in ("p", "li") and (part := _part(name, m["attrs"])):
+        elif name in ("p", "li") and (part := _part(name, attrs)):
             stack.append((name, part))
             parts[part] += 1
     flush()
     out = []
-    for k, (words_, n, share, *flags) in enumerate(found):
-        before = found[k - 1][1:3] if k else (0, 0.0)
-        after = found[k + 1][1:3] if k + 1 < len(found) else (0, 0.0)
-        out.append((words_, [n, share, *before, *after, *flags]))
+    for k, (candidate, words_, n, share, *flags) in enumerate(found):
+        before = found[k - 1][2:4] if k else (0, 0.0)
+        after = found[k + 1][2:4] if k + 1 < len(found) else (0, 0.0)
+        if candidate:
+            out.append((words_, [n, share, *before, *after, *flags]))
     return out
 
 
@@ -186,7 +292,8 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", text_col: str =
     """pages without html_col, plus text_col: the blocks that the tree calls main text, joined by one space.
 
     The tree is fitted on LABELLED when the operator is called. A null or empty page gives an empty text; pages of any
-    length are read whole; repeated rows and null keys stay; a column already named text_col is replaced.
+    length are read whole, in one scan; repeated rows and null keys stay; a column already named text_col is replaced,
+    other columns keep their names; an empty table gives an empty result.
     """
     tree = fit_tree()
     kept = [c for c in pages.columns if c not in (html_col, text_col)]
