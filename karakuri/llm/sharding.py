@@ -14,8 +14,10 @@ DIGITS = [(0, 12), *[(0, 8)] * 6, (0, 4), *[(1, 8)] * 8]
 TOLERANCE = 0.001
 #: A group of equal texts is parted only if a boundary beside it would be off by more than so many tolerances.
 GROUP_TOLERANCES = 20
-#: Rows of one shard are sorted in parts of about this many bytes, at most PARTS of them to a shard.
-PART_BYTES, PARTS = 64 << 20, 1024
+#: Rows of one shard are numbered in parts of about this many bytes, however many parts that makes.
+PART_BYTES = 8 << 20
+#: Tasks that number parts, at most; each takes several parts if there are more.
+TASKS = 100_000
 _MIN, _ONES = -(1 << 63), (1 << 64) - 1
 
 
@@ -47,6 +49,7 @@ def find_splitters(keys: DataFrame, targets: list[tuple[float, float]]) -> list[
         if not open_:
             break
         ranges = sorted({v[0] for v in open_.values()})
+        number = {v: i for i, v in enumerate(ranges)}
         b0, _, b1, _ = ranges[0]  # all open ranges are equally deep
         within = keys.withColumn("r", F.lit(0))
         if b0:
@@ -63,7 +66,7 @@ def find_splitters(keys: DataFrame, targets: list[tuple[float, float]]) -> list[
         still = {}
         for j, ((b0, p0, b1, p1), below, rows) in open_.items():
             target, allowed = targets[j]
-            for d, b, n in counts.get(ranges.index((b0, p0, b1, p1)), []):
+            for d, b, n in counts.get(number[b0, p0, b1, p1], []):
                 deeper = (b0 + width, p0 << width | d, b1, p1) if which == 0 else (b0, p0, b1 + width, p1 << width | d)
                 start = (deeper[1] << (64 - deeper[0]), deeper[3] << (64 - deeper[2]) if deeper[2] else 0)
                 if abs(below - target) <= allowed or below >= target:
@@ -90,46 +93,49 @@ def find_splitters(keys: DataFrame, targets: list[tuple[float, float]]) -> list[
 
 
 def histogram_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
-    """docs plus size, shard (0 to shards - 1) and slot (0, 1, ... within the shard, in key order), near equal in bytes.
-
-    size is the text's UTF-8 bytes plus 1 (a null text has none). Rows are ordered by the hash of their text, then of
-    their id, so equal texts are neighbours, and part only where a shard would else be off by over GROUP_TOLERANCES
-    tolerances. Rows equal in text and id can't be told apart and stay together; null ids are an id of their own; an
-    empty table gives an empty result.
+    """docs plus size, shard (0 to shards - 1) and slot (0, 1, ... within the shard), near equal in bytes.
+
+    size is the text's UTF-8 bytes plus 1 (a null text has none). Shards are ranges of the hash of the text, then of the
+    id, so equal texts are neighbours, and part only where a shard would else be off by over GROUP_TOLERANCES tolerances.
+    Within a shard slots follow the first bits of the text's hash; where these have more than two parts' bytes, as
+    large groups of equal texts do, they follow as many bits of the id's hash, too, as make it parts. The driver holds
+    the shards' splitters only. Rows equal in text and id can't be told apart and stay together; null ids are an id of
+    their own; texts of any length count whole; columns already named size, shard or slot are replaced; an empty table
+    gives an empty result.
     """
     added = ["size", "shard", "slot"]
     docs = docs.drop(*added)
     keyed = _keyed(docs, id_col, text_col)
     keys = cut(keyed.select("_k0", "_k1", "_size"))
     total = keys.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("b")).first()["b"]
-    parts = min(PARTS, max(1, -(-total // (shards * PART_BYTES))))
-    share, n = total / shards, shards * parts
-    targets = [(total * i / n, (share if i % parts == 0 else share / parts * 100) * tolerance) for i in range(1, n)]
-    bounds = [(0, 0, 0, 0), *find_splitters(keys, targets)]
-    edges = [(b[0], b[1]) for b in bounds[1:]]
-
-    def part_of(k0, k1):
-        import numpy as np
-        import pandas as pd
-
-        first = np.array([e[0] for e in edges], np.uint64)
-        a, b = k0.to_numpy().view(np.uint64), k1.to_numpy().view(np.uint64)
-        low, high = np.searchsorted(first, a, "left"), np.searchsorted(first, a, "right")
-        for v in np.unique(a[low < high]):  # texts that a boundary falls in
-            at = a == v
-            lo, hi = np.searchsorted(first, v, "left"), np.searchsorted(first, v, "right")
-            second = np.array([e[1] for e in edges[lo:hi]], np.uint64)
-            high[at] = lo + np.searchsorted(second, b[at], "right")
-        return pd.Series(high.astype(np.int32))
-
-    start = {s: bounds[s * parts][3] for s in range(shards)}
-    places = [(i, i // parts, bounds[i][3] - start[i // parts]) for i in range(n)]
-    placed = docs.sparkSession.createDataFrame(places, "_part int, _shard int, _base bigint")  # shards * PARTS rows at most
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_k0", "_k1"))
+    share = total / shards
+    splitters = find_splitters(keys, [(total * i / shards, share * tolerance) for i in range(1, shards)])
+    bits = max(0, (-(-total // PART_BYTES) - 1).bit_length())
+
+    def placed(rows):
+        """rows with _shard and _p0, the first bits of the text's hash."""
+        a, b = (F.col(c).bitwiseXOR(F.lit(_MIN)) for c in ("_k0", "_k1"))  # as signed numbers in the same order
+        past = [(a > F.lit(x + _MIN)) | (a == F.lit(x + _MIN)) & (b >= F.lit(y + _MIN)) for x, y, *_ in splitters]
+        shard = sum((c.cast("int") for c in past), F.lit(0))
+        return rows.withColumns({"_shard": shard, "_p0": F.shiftrightunsigned("_k0", 64 - bits) if bits else F.lit(0).cast("long")})
+
+    heavy = placed(keys).groupBy("_shard", "_p0").agg(F.sum("_size").alias("b")).where(F.col("b") > 2 * PART_BYTES)
+    deep = cut(heavy.select("_shard", "_p0", F.ceil(F.log2(F.col("b") / PART_BYTES)).cast("int").alias("_deep")))
+
+    def parted(rows):
+        """placed, and _p1: the first bits of the id's hash where the text's have too many bytes."""
+        found = placed(rows).join(deep, ["_shard", "_p0"], "left")
+        return found.withColumn("_p1", F.when(F.col("_deep").isNull(), F.lit(0)).otherwise(F.expr("shiftrightunsigned(_k1, 64 - _deep)"))).drop("_deep")
+
+    part = ["_shard", "_p0", "_p1"]
+    before = Window.partitionBy("_shard").orderBy("_p0", "_p1").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    first = parted(keys).groupBy(*part).agg(F.count("*").alias("n")).withColumn("_base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    rank = F.row_number().over(Window.partitionBy(*part).orderBy("_k0", "_k1"))
     return (
-        keyed.withColumn("_part", F.pandas_udf(part_of, "int")("_k0", "_k1"))
+        parted(keyed)
+        .repartition(min(TASKS, max(shards, -(-total // PART_BYTES))), *part)
         .withColumn("_rank", rank)
-        .join(F.broadcast(placed), "_part")
+        .join(cut(first), part)
         .select("_row.*", F.col("_size").alias("size"), F.col("_shard").alias("shard"), (F.col("_base") + F.col("_rank") - 1).alias("slot"))
     )
 
