@@ -9,8 +9,9 @@ from karakuri.llm.common import table
 
 #: Permitted sequence lengths in tokens.
 CAPACITIES = (512, 1024, 2048, 4096)
-#: Documents are packed in groups of about this many tokens, dealt out by a hash of their id.
-GROUP_TOKENS = 2_000_000
+#: Documents are packed in groups of about this many tokens, dealt out by a hash of their id and text. A group that gets
+#: more, as many rows equal in both make it, is packed in stretches of HELD times as many.
+GROUP_TOKENS, HELD = 2_000_000, 4
 #: Tasks at most; a task packs its groups one after another.
 TASKS = 20_000
 
@@ -62,44 +63,53 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Tokens are the words and one end token, so an empty or null text has one. A document longer than the largest
     capacity is cut into pieces of that many tokens and a rest; no token is dropped. bin numbers are unique and depend
-    on the rows alone, not on their order or partitions: items go by length, id and piece. Rows with a null id are
-    packed like others, repeated rows once each, an empty table gives an empty result, other columns are ignored.
+    on the rows alone, not on their order or partitions: items go by length, id, text (its hash) and piece. Rows with a
+    null id are packed like others, repeated rows once each, texts of any length are read whole, an empty table gives an
+    empty result, other columns are ignored. No task holds more than one stretch of one group.
     """
     most = max(capacities)
     n = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1
-    sized = docs.select(F.col(id_col), n.cast("long").alias("n"))
+    sized = docs.select(F.col(id_col), n.cast("long").alias("n"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"))
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     groups = max(1, -(-total // group_tokens))
     pieces = (
-        sized.select(id_col, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / most))).alias("piece"))
-        .select(id_col, "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most), F.col("n") - F.col("piece") * most).alias("length"), F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups)).alias("bin"))
+        sized.select(id_col, "n", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / most))).alias("piece"))
+        .select(id_col, "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most), F.col("n") - F.col("piece") * most).alias("length"), F.pmod(F.xxhash64(id_col, "h", "piece"), F.lit(groups)).alias("bin"), "h")
         .repartition(min(groups, TASKS), "bin")
-        .sortWithinPartitions("bin", F.desc("length"), id_col, "piece")
+        .sortWithinPartitions("bin", F.desc("length"), id_col, "h", "piece")
+        .drop("h")
     )
     names = [id_col, "piece", "start", "length", "bin", "capacity", "offset"]
 
     def run(batches):
         import pyarrow as pa
 
-        def packed(rows):
+        def packed(rows, first):
             whole = pa.Table.from_batches(rows)
             at, offset, final = best_fit(whole.column(3).to_pylist(), capacities)
             group = whole.column(4)[0].as_py()
-            more = [[(group << 32) + b for b in at], [final[b] for b in at], offset]
-            return pa.table([*whole.columns[:4], *(pa.array(x, pa.int64()) for x in more)], names=names).to_batches()
+            more = [[(group << 32) + first + b for b in at], [final[b] for b in at], offset]
+            return len(final), pa.table([*whole.columns[:4], *(pa.array(x, pa.int64()) for x in more)], names=names).to_batches()
 
-        held: list = []  # the rows of one group
+        held, size, now, bins = [], 0, None, 0  # rows of one group and their tokens; the group, and its bins so far
         for batch in batches:
-            column, start = batch.column(4).to_pylist(), 0
+            column, lengths, start, tokens = batch.column(4).to_pylist(), batch.column(3).to_pylist(), 0, 0
             for k in range(1, len(column) + 1):
-                if k == len(column) or column[k] != column[start]:
-                    if held and held[-1].column(4)[0].as_py() != column[start]:
-                        yield from packed(held)
-                        held = []
-                    held.append(batch.slice(start, k - start))
-                    start = k
+                tokens += lengths[k - 1]
+                if k < len(column) and column[k] == column[start] and (size if column[start] == now else 0) + tokens < HELD * group_tokens:
+                    continue
+                if column[start] != now:
+                    if held:
+                        yield from packed(held, bins)[1]
+                    held, size, now, bins = [], 0, column[start], 0
+                held.append(batch.slice(start, k - start))
+                size, start, tokens = size + tokens, k, 0
+                if size >= HELD * group_tokens:
+                    opened, out = packed(held, bins)
+                    yield from out
+                    held, size, bins = [], 0, bins + opened
         if held:
-            yield from packed(held)
+            yield from packed(held, bins)[1]
 
     schema = pieces.select(id_col, "piece", "start", "length", "bin", F.lit(0).cast("long").alias("capacity"), F.lit(0).cast("long").alias("offset")).schema
     return pieces.mapInArrow(run, schema)
@@ -110,5 +120,7 @@ def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences to train on: one row for each piece of each document, with its bin, the bin's length and its place."""
+    """The sequences to train on: one row for each piece of each document, with its bin, the bin's length and its place.
+
+    Null texts and null ids are packed like others (see pack_documents); an empty table gives an empty result."""
     return pack_documents(docs)
