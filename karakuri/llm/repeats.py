@@ -21,6 +21,8 @@ WINDOW = 13
 ANCHOR = (WINDOW + 1) // 2
 #: Text in one block, and the least number of blocks; a block is what one Python worker holds at a time.
 BLOCK_BYTES, LEAST_BLOCKS = 12 << 20, 48
+#: Ranges of ids whose bytes are counted, for each block; blocks are put together from them.
+FINE = 4
 _P, _Q, _C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
 
@@ -184,22 +186,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if it lies in a run of WINDOW words that also begins in a document with a smaller id. Words are maximal
     runs without white space; null and empty texts have none. Rows with equal ids are one document that does not repeat
     itself, yet each gives a row; rows with a null id are kept whole and nothing is compared with them. Runs are compared by
-    96 bits of hash on top of their place among the buckets. An empty table gives an empty result.
+    96 bits of hash on top of their place among the buckets. Ids are whole numbers; others are an error. Texts of any
+    length are read whole, other columns are ignored. An empty table gives an empty result. Hashes travel packed, a row
+    for each block and bucket that has any, so there are never more rows than hashes.
     """
+    import numpy as np
+    from pyspark.sql.types import IntegralType
+
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be of whole numbers, whose order says which document is the first")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     blocks = max(LEAST_BLOCKS, -(-total // BLOCK_BYTES))
-    bits = min(16, max(6, (blocks - 1).bit_length()))
-    marks = rows.agg(F.percentile_approx("id", [i / blocks for i in range(1, blocks)], min(20 * blocks, 2_000_000)).alias("m")).first()["m"] or []
-    marks = sorted(set(marks))
+    bits = max(6, (blocks - 1).bit_length())
+    cells = FINE * blocks
+    marks = rows.agg(F.percentile_approx("id", [i / cells for i in range(1, cells)], min(20 * cells, 2_000_000)).alias("m")).first()["m"] or []
+    marks = spark.sparkContext.broadcast(np.array(sorted(set(marks)), np.int64))
+
+    def cell_of(ids):
+        import pandas as pd
+
+        return pd.Series(np.searchsorted(marks.value, ids.to_numpy().astype(np.int64), "left").astype(np.int32))
+
+    sizes = rows.where("id IS NOT NULL").select(F.pandas_udf(cell_of, "int")("id").alias("c"), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("b"))
+    number = np.zeros(len(marks.value) + 1, np.int64)
+    for r in sizes.groupBy("c").agg(F.sum("b").alias("b")).collect():  # a row for each cell
+        number[r["c"]] = r["b"]
+    # A block takes neighbouring cells until it has its share of the bytes.
+    block_of_cell = spark.sparkContext.broadcast(np.minimum(np.cumsum(number) - number, max(0, total - 1)) * blocks // max(1, total))
 
     def block_of(ids):
-        import numpy as np
         import pandas as pd
 
         null = ids.isna().to_numpy()
-        found = np.searchsorted(np.array(marks, np.int64), ids.fillna(0).to_numpy().astype(np.int64), "left")
+        found = block_of_cell.value[np.searchsorted(marks.value, ids.fillna(0).to_numpy().astype(np.int64), "left")]
         return pd.Series(np.where(null, np.arange(len(ids)) % blocks, found).astype(np.int32))
 
     placed = rows.withColumn("block", F.pandas_udf(block_of, "int")("id"))

@@ -141,16 +141,61 @@ def test_elements_left_open_do_not_swallow_the_page():
     assert html_text.main_text(f"<body>{body}<script>{body}", tree) == said
 
 
+def test_one_class_word_does_not_delete_an_article():
+    tree, said = html_text.fit_tree(), "A paragraph with a good many words in it that goes on for quite some time and then ends."
+    for name in ("legal-search article", "sidebar content", "post social"):
+        assert html_text.main_text(f'<body><div class="{name}"><p>{said}</p><p>{said}</p></div></body>', tree) == f"{said} {said}"
+    assert html_text.main_text(f'<article><p>{said}</p></article><div class="comment">{said}</div><footer>{said}</footer>', tree) == said
+    assert html_text.main_text(f"<article><p>{said}</p><a href=x><div>A link around a block</div></a></article>", tree) == said
+    assert html_text.main_text(f"<article><p><a href=x>An open link <p>{said}</article>", tree) == said
+
+
+def test_features_are_those_of_blocks_and_neighbours():
+    r = random.Random(3)
+    page, want = [], []
+    for _ in range(60):
+        n, linked = r.randrange(1, 40), r.choice((0, 0, 1, 3))
+        linked = min(n, linked)
+        named, article, heading = r.random() < 0.2, r.random() < 0.4, r.random() < 0.2
+        text = " ".join(["<a href='#'>" + " ".join(["link"] * linked) + "</a>"] * (linked > 0) + ["word"] * (n - linked))
+        text = f"<h2>{text}</h2>" if heading else f"<p>{text}</p>"
+        text = f"<div class='sidebar'>{text}</div>" if named else text
+        page.append(f"<main>{text}</main>" if article else text)
+        want.append((n, linked / n, int(named), int(article), int(heading)))
+    got = html_text.blocks("".join(page))
+    assert len(got) == len(want)
+    for k, (_, f) in enumerate(got):
+        before, after = want[k - 1][:2] if k else (0, 0.0), want[k + 1][:2] if k + 1 < len(want) else (0, 0.0)
+        assert dict(zip(html_text.FEATURES, f)) == dict(zip(html_text.FEATURES, (*want[k][:2], *before, *after, *want[k][2:])))
+
+
+def test_broken_markup_is_read_once():
+    import time
+
+    tree = html_text.fit_tree()
+    for piece in ("<a ", "<![CDATA[", "<a \"> \"", "<a '\">", "<p <b>", "<a \"<b'\" ", "<!-- ", "<button>", "<"):
+        began = time.time()
+        html_text.main_text(piece * (1_000_000 // len(piece)), tree)
+        assert time.time() - began < 10, piece
+    assert html_text.main_text("<p>plain < text & 1 <2 and a<b or c " + "more " * 20, tree) == "plain < text & 1 <2 and a<b or c " + "more " * 19 + "more"
+
+
 def test_tree_fits_its_table():
     tree = html_text.fit_tree()
+
+    def used(t):
+        return {html_text.FEATURES[t[0]]} | used(t[2]) | used(t[3]) if isinstance(t, tuple) else set()
+
     wrong = [r for r in html_text.LABELLED if html_text.is_main(tree, r) != bool(r[-1])]
     assert len(wrong) <= 2 and len(html_text.LABELLED) < 200
+    assert used(tree) >= {"words", "links", "words_before", "links_after", "words_after"}
 
 
 def test_pages(spark):
     rows = [(1, "u", PAGE, "mine"), (2, "v", None, "mine"), (None, None, "", None), (3, "w", "<article><p>" + "a word or two here " * 20000, "x"), (1, "u", PAGE, "mine"), (4, "z", "plain < text & more", "y")]
     got = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     texts = [r["text"] for r in got]
+    assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, html string")).count() == 0
     assert texts[0] == texts[4] != "" and texts[1] == texts[2] == "" and len(texts[3]) == 20000 * 19 - 1
 
 
@@ -221,14 +266,26 @@ def test_scores_without_training(spark):
     assert {r["doc_id"]: round(r["score"], 6) for r in got} == {1: round(-3 * math.log10(256), 6), 2: round(-math.log10(256), 6)}
 
 
-def test_no_node_is_left_out(spark):
+def test_no_node_is_left_out():
+    import numpy as np
+
     n = 1_200_000  # windows with so many contexts that there are over 3,000,000 nodes
-    grams = spark.range(n).select((F.col("id") * 2654435761 % (1 << 40) * 256 + 97).alias("gram"), F.lit(1).alias("n"))
-    nodes = ppm.trie_nodes(grams)
-    assert sum(len(keys) for keys, _ in nodes) > 3_000_000
+    grams = np.unique((np.arange(n, dtype=np.uint64) * np.uint64(2654435761) % np.uint64(1 << 40)) * np.uint64(256) + np.uint64(97))
+    nodes = ppm.trie_nodes(grams, np.ones(len(grams), np.int64))
+    assert len(grams) == n and sum(len(keys) for keys, _ in nodes) > 3_000_000
     assert len(nodes[ppm.ORDER][0]) == n and all(counts.sum() == n for _, counts in nodes)
 
 
+def test_parts_know_all_that_their_windows_need(spark, docs, pairs, monkeypatch):
+    """As many blocks and parts as there are, the scores are the same."""
+    scores = []
+    for least in (1, 7):
+        monkeypatch.setattr(ppm, "LEAST_BLOCKS", least)
+        rows = ppm.score_documents(docs, "doc_id % 2 = 1").collect()
+        scores.append(bag((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 3)) for r in rows))
+    assert scores[0] == scores[1] and sum(scores[0].values()) == len(pairs)
+
+
 def test_pruned_trie_still_sums_to_one():
     import numpy as np
 
