@@ -55,8 +55,8 @@ def matched(text: str, pattern: str, group: int = 0) -> str:
 
 
 def number_text(x: str) -> str:
-    """A number as a browser prints it: whole ones without a fraction."""
-    return f"CASE WHEN {x} = floor({x}) THEN cast(cast({x} AS bigint) AS string) ELSE cast({x} AS string) END"
+    """A number as it is shown: whole ones without a fraction, others with ten digits of it at most and never an exponent."""
+    return f"CASE WHEN {x} = floor({x}) THEN cast(cast({x} AS bigint) AS string) ELSE regexp_replace(cast(cast({x} AS decimal(38, 10)) AS string), '[.]?0+$', '') END"
 
 
 AXES = ("fr", "lr", "io")

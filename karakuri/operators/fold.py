@@ -39,9 +39,9 @@ def position_of() -> Column:
     return F.when(some, F.struct("front_rear", "left_right", "inner_outer"))
 
 
-def snapshot(parses: DataFrame, *keys: str, seq: str = "uid") -> DataFrame:
-    """(keys, item_id, status, front_rear, left_right, inner_outer, value, measurements, note): the matched records of
-    each item, the latest value of each column; readings are merged by name; the electrical item gathers its notes."""
+def _gathered(parses: DataFrame, *keys: str, seq: str) -> DataFrame:
+    """(keys, item_id, status, p, value, measurements, plain, notes, last_seq) of the matched records of each item: the
+    latest value of each column, readings merged by name, and the notes in order."""
     order = F.struct(seq, "ord")
     readings = [(name, F.col(name.lower())) for name in ("CO", "HC")]
     lamp = F.col("item_id") == "electrical"
@@ -55,8 +55,61 @@ def snapshot(parses: DataFrame, *keys: str, seq: str = "uid") -> DataFrame:
     )
     entries = F.array_sort(F.filter(F.array(*[F.struct(F.col(f"_{n}_at").alias("at"), F.lit(k).alias("k"), F.lit(n).alias("name"), F.col(f"_{n}").alias("v")) for k, (n, _) in enumerate(readings)]), lambda e: e["v"].isNotNull()))
     measurements = F.when(F.size(entries) > 0, F.map_from_entries(F.transform(entries, lambda e: F.struct(e["name"], e["v"]))))
-    note = F.when(lamp, appended_notes(F.transform("notes", lambda n: n["note"]))).otherwise(F.col("plain"))
-    return grouped.select(*keys, "item_id", "status", "p.*", "value", measurements.alias("measurements"), note.alias("note"), "last_seq")
+    return grouped.select(*keys, "item_id", "status", "p", "value", measurements.alias("measurements"), "plain", F.transform("notes", lambda n: n["note"]).alias("notes"), "last_seq")
+
+
+def snapshot(parses: DataFrame, *keys: str, seq: str = "uid") -> DataFrame:
+    """(keys, item_id, status, front_rear, left_right, inner_outer, value, measurements, note): the matched records of
+    each item, the latest value of each column; readings are merged by name; the electrical item gathers its notes."""
+    note = F.when(F.col("item_id") == "electrical", appended_notes(F.col("notes"))).otherwise(F.col("plain"))
+    return _gathered(parses, *keys, seq=seq).select(*keys, "item_id", "status", "p.*", "value", "measurements", note.alias("note"), "last_seq")
+
+
+def merged_readings(old: Column, new: Column) -> Column:
+    """Readings of two maps: the new ones count, and those that both have stay in the old one's place."""
+    none = F.expr("cast(array() AS array<struct<key: string, value: double>>)")
+    before = F.transform(F.coalesce(F.map_entries(old), none), lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.try_element_at(new, e["key"]), e["value"]).alias("value")))
+    after = F.filter(F.coalesce(F.map_entries(new), none), lambda e: F.coalesce(~F.map_contains_key(old, e["key"]), F.lit(True)))
+    return F.when(F.coalesce(old, new).isNotNull(), F.map_from_entries(F.concat(before, after)))
+
+
+def applied(stored: DataFrame, parses: DataFrame, *keys: str, now: Column, seq: str = "uid", only_stored: bool = True) -> DataFrame:
+    """Stored items (keys, item_id, status, front_rear, left_right, inner_outer, value, measurements, note, updated_at)
+    with the matched records applied in order: what a record has replaces the old, a position whole; readings are merged
+    and the electrical item's notes added. Records of items that aren't stored are dropped, or, if only_stored is false, are new."""
+    axes = ["front_rear", "left_right", "inner_outer"]
+    new = _gathered(parses, *keys, seq=seq).select(*keys, "item_id", F.struct("status", "p", "value", "measurements", "plain", "notes").alias("_new"))
+    both = stored.join(new, [*keys, "item_id"], "left" if only_stored else "full")
+    lamp = (F.col("item_id") == "electrical") & F.col("_new").isNotNull()
+    changed = {
+        "status": F.coalesce("_new.status", "status"), **{a: F.when(F.col("_new.p").isNotNull(), F.col(f"_new.p.{a}")).otherwise(F.col(a)) for a in axes},
+        "value": F.coalesce("_new.value", "value"), "measurements": merged_readings(F.col("measurements"), F.col("_new.measurements")),
+        "note": F.when(lamp, appended_notes(F.coalesce("_new.notes", F.expr("cast(array() AS array<string>)")), F.col("note"))).otherwise(F.coalesce("_new.plain", "note")),
+        "updated_at": F.when(F.col("_new").isNotNull(), now).otherwise(F.col("updated_at")),
+    }
+    return both.select(*keys, "item_id", *[c.alias(n) for n, c in changed.items()])
+
+
+def with_custom(items: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """items and the confirmed custom ones behind them; is_custom tells which are which."""
+    return items.withColumn("is_custom", F.lit(False)).unionByName(confirmed.withColumn("is_custom", F.lit(True)), allowMissingColumns=True)
+
+
+def queue_head(queues: DataFrame, queue: str = "queue") -> DataFrame:
+    """queues with the name that waits first, the texts that show it and how many more wait, and the queue without it."""
+    more = F.size(queue) - 1
+    counted = lambda before, after: F.when(more > 0, F.concat(F.lit(before), more.cast("string"), F.lit(after))).otherwise(F.lit(""))
+    name = F.get(queue, F.lit(0))
+    return queues.withColumns({
+        "head": name, "rest": F.slice(queue, F.lit(2), F.greatest(F.size(queue), F.lit(1))),
+        "hint": F.concat(F.lit("未認識："), F.coalesce(F.nullif(name, F.lit("")), F.lit("（項目名なし）")), counted("　ほか", "件")),
+        "title": F.concat(F.lit("未登録項目の可能性"), counted("（ほか", "件あります）")),
+    })
+
+
+def record_title(n: Column) -> Column:
+    """The heading above n records of one utterance."""
+    return F.concat(F.lit("記録"), F.when(n > 1, F.concat(F.lit("（"), n.cast("string"), F.lit("件）"))).otherwise(F.lit("")))
 
 
 def unmatched_queue(parses: DataFrame, *keys: str, seq: str = "uid") -> DataFrame:
@@ -71,13 +124,28 @@ def unmatched_queue(parses: DataFrame, *keys: str, seq: str = "uid") -> DataFram
     return parses.where("NOT matched").groupBy(*keys).agg(F.aggregate(names, empty, add).alias("queue"))
 
 
-def displays(parses: DataFrame, *keys: str, seq: str = "uid") -> DataFrame:
-    """Each matched record with its item as it is shown: as it was before the utterance, with this record applied."""
+def displays(parses: DataFrame, *keys: str, seq: str = "uid", stored: DataFrame | None = None) -> DataFrame:
+    """Each matched record with its item as it is shown: as it was before the utterance, with this record applied.
+
+    stored: the items (keys, item_id, status, front_rear, left_right, inner_outer, value, co, hc, note) before the first
+    utterance. The electrical item's note is what was gathered before, and this record's.
+    """
     before = Window.partitionBy(*keys, "item_id").orderBy(seq).rangeBetween(Window.unboundedPreceding, -1)
     order = F.struct(seq, "ord")
-    kept = {c: F.coalesce(F.col(c), _latest(F.col(c), order).over(before)) for c in ("status", "value", "co", "hc")}
-    old = _latest(position_of(), order).over(before)
-    return parses.where("matched").select(*keys, seq, "ord", "item_id", *[c.alias(n) for n, c in kept.items()], F.coalesce(position_of(), old).alias("p")).select(*keys, seq, "ord", "item_id", *kept, "p.*")
+    columns = ["status", "value", "co", "hc"]
+    prior = {c: F.lit(None) for c in (*columns, "note", "p")}
+    found = parses.where("matched")
+    if stored is not None:
+        held = stored.select(*keys, "item_id", F.struct(*columns, "note", position_of().alias("p")).alias("_held"))
+        found = found.join(held, [*keys, "item_id"], "left")
+        prior = {c: F.col(f"_held.{c}") for c in prior}
+    kept = {c: F.coalesce(F.col(c), _latest(F.col(c), order).over(before), prior[c]) for c in columns}
+    place = F.coalesce(position_of(), _latest(position_of(), order).over(before), prior["p"])
+    gathered = F.array_sort(F.collect_list(F.when(F.col("note").isNotNull(), F.struct(order.alias("o"), "note"))).over(before))
+    said = F.filter(F.concat(F.transform("_said", lambda n: n["note"]), F.array("note")), lambda n: n.isNotNull())
+    note = F.when(F.col("item_id") == "electrical", appended_notes(said, F.col("_prior"))).otherwise(F.coalesce("note", "_last", "_prior"))
+    rows = found.select(*keys, seq, "ord", "item_id", *[c.alias(f"_{n}") for n, c in kept.items()], place.alias("p"), "note", gathered.alias("_said"), _latest(F.col("note"), order).over(before).alias("_last"), prior["note"].cast("string").alias("_prior"))
+    return rows.select(*keys, seq, "ord", "item_id", *[F.col(f"_{c}").alias(c) for c in columns], "p.*", note.alias("note"))
 
 
 def fold_ctes(keys: str, seq: str = "uid") -> list[str]:

@@ -99,11 +99,22 @@ def segments(tokenised: DataFrame, *keys: str) -> DataFrame:
 
 
 def parse(utterances: DataFrame, *keys: str, raw: str = "raw") -> DataFrame:
-    """(keys, ord, matched, item_id, ...): every utterance's records in order; at least one for each utterance."""
-    tokenised = with_tokens(utterances.select(*keys, raw), raw)
-    some = _kept(P.applied(segments(tokenised, *keys), segment_steps()), keys, _SEGMENT)
-    none = P.applied(tokenised.where(F.size("tokens") == 0).select(*keys, "compare", "display"), whole_steps())
-    none = _kept(none.withColumn("item_id", approx_match(F.col("jud_c"))["item_id"]), keys, _WHOLE)
+    """(keys, ord, matched, item_id, ...): every utterance's records in order; at least one for each utterance.
+
+    Equal texts are parsed once; a null one counts as empty. A key with the name of a column of a record comes out as
+    key_<name>.
+    """
+    said = utterances.select(F.struct(*keys).alias("_key"), F.coalesce(F.col(raw), F.lit("")).alias("_said"))
+    named = [F.col(f"_key.{k}").alias(f"key_{k}" if k in PARSE else k) for k in keys]
+    return said.join(parse_texts(said.select("_said").distinct()), "_said").select(*named, *PARSE)
+
+
+def parse_texts(texts: DataFrame) -> DataFrame:
+    """Distinct texts (_said) -> (_said, ord, matched, item_id, ...)."""
+    tokenised = with_tokens(texts, "_said")
+    some = _kept(P.applied(segments(tokenised, "_said"), segment_steps()), ["_said"], _SEGMENT)
+    none = P.applied(tokenised.where(F.size("tokens") == 0).select("_said", "compare", "display"), whole_steps())
+    none = _kept(none.withColumn("item_id", approx_match(F.col("jud_c"))["item_id"]), ["_said"], _WHOLE)
     return some.unionByName(none)
 
 

@@ -37,9 +37,13 @@ def readings_of(measurements: str = "measurements") -> str:
 
 
 def labelled(items: DataFrame) -> DataFrame:
-    """items with ord and category from the checklist (a left join with the fixed dictionary), line and label."""
-    known = F.broadcast(dims.checklist_dim(items.sparkSession).select("item_id", "ord", "category"))
-    return items.join(known, "item_id", "left").withColumn("line", F.expr(summary_line(readings_of()))).withColumn("label", F.expr(full_label("line")))
+    """items with ord and category from the checklist (a left join with the fixed dictionary), line and label. Custom
+    items keep their own category, and stand behind the checklist in the order of their own ord."""
+    known = F.broadcast(dims.checklist_dim(items.sparkSession).select("item_id", F.col("ord").alias("_ord"), F.col("category").alias("_category")))
+    own = F.coalesce(F.col("ord"), F.lit(0)) if "ord" in items.columns else F.lit(0)
+    category = F.coalesce("_category", "category") if "category" in items.columns else F.col("_category")
+    found = items.join(known, "item_id", "left").withColumns({"ord": F.coalesce("_ord", F.lit(len(dims.CHECKLIST)) + own).cast("int"), "category": category})
+    return found.drop("_ord", "_category").withColumn("line", F.expr(summary_line(readings_of()))).withColumn("label", F.expr(full_label("line")))
 
 
 def memo(inspections: DataFrame, items: DataFrame, key: str) -> DataFrame:

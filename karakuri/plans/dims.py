@@ -76,7 +76,6 @@ VOICE_ERRORS = [
 VOICE_STATES = [
     ("idle", "音声入力停止中"), ("listening", "認識中…"), ("processing", "解析中…"), ("error", "認識失敗（下のエラー内容を確認してください）"), ("unsupported", "この端末では音声入力を利用できません"),
 ]
-VOICE_HINTS = ["OK＝良好", "NG＝不合格", "交換＝要交換", "推奨＝おすすめ", "整備＝整備", "なし＝該当なし", "要望＝ご要望", "不要＝お客様不要"]
 APP_EVENTS = ["inspection_start", "microphone_start", "speech_recognition_success", "unrecognized_input", "summary_view", "back_to_top"]
 
 #: White space: what a session in the browser takes for it.
@@ -126,10 +125,6 @@ def checklist_dim(spark: SparkSession) -> DataFrame:
     return frame(spark, [(k, item, name, group) for k, (group, item, name, _) in enumerate(CHECKLIST)], "ord int, item_id string, category string, `group` string")
 
 
-def alias_dim(spark: SparkSession, aliases=ALIASES) -> DataFrame:
-    return frame(spark, [(*a, fuzzy_limit(a[3])) for a in aliases], "rank int, item_id string, alias string, n int, d int")
-
-
 def status_dim(spark: SparkSession) -> DataFrame:
     rows = [(s, label, k, PROBLEMS.index(s) if s in PROBLEMS else None, css) for k, (s, label, css) in enumerate(STATUSES)]
     return frame(spark, rows, "status string, label string, ui_ord int, summary_ord int, css string")

@@ -45,4 +45,4 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alternatives(said: DataFrame) -> DataFrame:
     """(uid, inspection_id, alternatives): each utterance behind one that lost its first two letters and a blank one."""
-    return said.select("uid", "inspection_id", F.array(F.substring("raw", 3, 100), F.lit(" 　"), F.col("raw"), F.concat(F.col("raw"), F.lit("良好"))).alias("alternatives"))
+    return said.select("uid", "inspection_id", F.array(F.expr("substring(raw, 3)"), F.lit(" 　"), F.col("raw"), F.concat(F.col("raw"), F.lit("良好"))).alias("alternatives"))

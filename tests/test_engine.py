@@ -135,13 +135,140 @@ def test_summary_line(spark):
 
 
 def test_reconcile(spark):
-    rows = [("i", 0, "engine_oil", "old", "good", None, None), ("i", 1, "steering_rack_boot", "x", "unset", None, False), ("i", 2, "tire", "タイヤ", "ng", None, None), ("i", 3, "other", "o", "unset", None, True)]
-    once = store.reconcile(spark.createDataFrame(rows, "i string, ord int, item_id string, category string, status string, note string, has_extra boolean"), "i")
+    rows = [
+        ("i", 0, "engine_oil", "old", "good", None, ("front", None, None), (5.0, "mm"), None, "t0"), ("i", 1, "steering_rack_boot", "x", "unset", None, None, None, None, None),
+        ("i", 2, "tire", "タイヤ", "ng", None, None, None, None, None), ("i", 3, "other", "o", "unset", None, (None, None, None), None, None, None), ("i", 4, "empty", "e", "unset", "", None, None, None, None),
+        ("i", 5, "co_hc", "x", "unset", None, None, None, {"CO": 0.02}, "t5"), ("i", 6, "tire", "タイヤ2", "ng", None, None, None, None, None),
+    ]
+    schema = "i string, ord int, item_id string, " + ", ".join(f"{c} {kind}" for c, kind in store.HELD.items())
+    once = store.reconcile(spark.createDataFrame(rows, schema), "i")
     got = {r["item_id"]: r for r in once.collect()}
     assert len(got) == 35 and got["engine_oil"]["category"] == "エンジンオイル" and got["engine_oil"]["status"] == "good"
-    assert got["tire"]["is_custom"] and got["other"]["is_custom"] and "steering_rack_boot" not in got
-    twice = store.reconcile(once.withColumn("has_extra", F.col("item_id") == "other"), "i")
-    assert {(r["item_id"], r["category"], r["status"]) for r in twice.collect()} == {(r["item_id"], r["category"], r["status"]) for r in once.collect()}
+    assert got["engine_oil"]["position"]["front_rear"] == "front" and got["engine_oil"]["measurement"]["value"] == 5.0 and got["engine_oil"]["updated_at"] == "t0"
+    assert got["co_hc"]["measurements"] == {"CO": 0.02} and got["co_hc"]["updated_at"] == "t5"
+    assert got["tire"]["is_custom"] and got["tire"]["category"] == "タイヤ2" and got["tire"]["ord"] == 33 + 2 and got["other"]["is_custom"] and not {"steering_rack_boot", "empty"} & {i for i in got if got[i]["is_custom"]}
+    assert sorted(map(str, store.reconcile(once, "i").drop("ord").collect())) == sorted(map(str, once.drop("ord").collect()))
+
+
+def test_changes_and_new_inspections(spark):
+    held = spark.createDataFrame([("p", 0, "old"), ("q", 1, "keep")], "id string, store_ord int, v string")
+    new = spark.createDataFrame([("p", 0, "a"), ("z", 1, "one"), ("p", 2, "b"), ("z", 3, "two")], "id string, store_ord int, v string")
+    assert sorted(map(tuple, store.upsert(held, new, "id").collect())) == [("p", 0, "b"), ("q", 1, "keep"), ("z", 3, "two")]
+    assert store.upsert(held.limit(0), new, "id").count() == 2
+    white = spark.createDataFrame([("\n\t [{\"id\":\"1\"}]",), ("\u3000[]",)], "value string")
+    assert [r["id"] for r in store.scan(white).collect()] == ["1"]
+    asked = spark.createDataFrame([(5, " 山田 ", None, "1,000km", 1700000000123)], "n long, name string, model string, mileage string, millis long")
+    made = store.create_saved(store.create(asked.limit(0), "millis", "n").selectExpr("id", "cast(0 AS long) AS store_ord", "customer_name", "mileage", "created_at").withColumn("items", F.expr("cast(array() AS array<struct<ord: int, item_id: string, category: string, status: string>>)")), asked, "millis", "n")
+    row = made.first()
+    assert (row["customer_name"], row["mileage"], row["created_at"], len(row["items"])) == ("山田", "1000", "2023-11-14T22:13:20.123Z", 33)
+    lists = store.arrays(spark.createDataFrame([("u", 1, "b"), ("u", 0, "a")], "user string, store_ord int, id string"), ["id"], "user")
+    assert lists.first()["value"] == '[{"id":"a"},{"id":"b"}]' and [r["id"] for r in store.scan(lists).collect()] == ["a", "b"]
+
+
+STORED = "inspection_id string, item_id string, status string, front_rear string, left_right string, inner_outer string, value double, measurements map<string, double>, note string, updated_at string"
+
+
+def test_records_are_applied_to_what_is_stored(spark):
+    held = spark.createDataFrame(
+        [("i", "co_hc", "good", None, None, None, None, None, "n", "t"), ("i", "electrical", "unset", None, None, None, None, None, "前回", "t"), ("i", "tire_front", "good", "front", None, None, 5.0, None, None, "t"), ("i", "engine_oil", "good", None, None, None, None, None, None, "t")], STORED)
+    held = held.withColumn("measurements", F.expr("CASE WHEN item_id = 'co_hc' THEN map('HC', cast(9 AS double), 'X', cast(1 AS double)) END"))
+    parses = _parses(spark, ["CO0.02", "HC15", "ストップランプ切れ", "前回ストップランプ切れ", "リヤ右タイヤ3ミリ", "バッテリー良好"])
+    got = {r["item_id"]: r for r in fold.applied(held, parses, "inspection_id", now=F.lit("now")).withColumn("readings", F.expr(report.readings_of())).collect()}
+    assert got["co_hc"]["readings"] == "HC: 15ppm / X: 1 / CO: 0.02%" and got["co_hc"]["status"] == "good" and got["co_hc"]["updated_at"] == "now"
+    assert got["electrical"]["note"].startswith("前回 / ストップランプ切れ")
+    assert (got["tire_front"]["front_rear"], got["tire_front"]["value"], got["tire_front"]["status"]) == ("rear", 3.0, "good")
+    assert got["engine_oil"]["updated_at"] == "t" and "battery" not in got and len(got) == 4
+    assert fold.applied(held, parses, "inspection_id", now=F.lit("now"), only_stored=False).count() == 5
+
+
+def test_displays_start_from_what_is_stored(spark):
+    parses = _parses(spark, ["ストップランプ切れ", "ウインカー球切れ", "バッテリー良好"])
+    stored = spark.createDataFrame([("i", "electrical", "ng", "front", None, None, None, None, None, "前回"), ("i", "battery", "ng", None, None, None, 12.0, None, None, "memo")], "inspection_id string, item_id string, status string, front_rear string, left_right string, inner_outer string, value double, co double, hc double, note string")
+    got = {r["uid"]: r for r in fold.displays(parses, "inspection_id", stored=stored).collect()}
+    assert got[0]["note"] == "前回 / ストップランプ切れ" and got[1]["note"] == "前回 / ストップランプ切れ / ウインカー球切れ" and got[0]["status"] == "ng" and got[0]["front_rear"] == "front"
+    assert (got[2]["status"], got[2]["value"], got[2]["note"]) == ("good", 12.0, "memo")
+    assert {r["uid"]: r["note"] for r in fold.displays(parses, "inspection_id").collect()}[1] == "ストップランプ切れ / ウインカー球切れ"
+
+
+def test_custom_items_in_the_memo(spark):
+    heads = spark.createDataFrame([("a", "", "", None)], "inspection_id string, customer_name string, vehicle_model string, mileage string")
+    items = spark.createDataFrame([("a", "brake_pad_rear", "ng", None, 0.0005)], "inspection_id string, item_id string, status string, category string, value double").selectExpr("*", "cast(NULL AS string) AS front_rear", "cast(NULL AS string) AS left_right", "cast(NULL AS string) AS inner_outer", "cast(NULL AS map<string, double>) AS measurements", "cast(NULL AS string) AS note")
+    custom = spark.createDataFrame([("a", "custom_1", "ng", "謎の部品"), ("a", "custom_2", "unset", "別")], "inspection_id string, item_id string, status string, category string")
+    memo = report.memo(heads, fold.with_custom(items, custom), "inspection_id").first()["memo"]
+    assert memo == "【不合格】\n・リヤブレーキパッド/ライニング 0.0005mm\n・謎の部品"
+    shown = spark.sql("SELECT " + ", ".join(f"{P.number_text(f'cast({x} AS double)')}" for x in ("0.0005", "12345678.5", "3", "0.1", "1e10", "-2.50"))).first()
+    assert list(shown) == ["0.0005", "12345678.5", "3", "0.1", "10000000000", "-2.5"]
+    assert [r["list_title"] for r in store.titled(heads).collect()] == ["お客様名未入力"]
+
+
+def test_keys_named_like_columns_of_a_record(spark):
+    rows = spark.createDataFrame([("x", 1, 2, "エンジンオイル良好"), ("x", 1, 2, "エンジンオイル良好")], "status string, k long, start long, raw string")
+    got = parse.parse(rows, "status", "k", "start").collect()
+    assert [(r["key_status"], r["k"], r["start"], r["status"]) for r in got] == [("x", 1, 2, "good")] * 2
+
+
+def test_sessions_equal_a_plain_state_machine(spark):
+    import random
+
+    from karakuri.operators import voice
+
+    def walk(events):
+        state, wants, manual, fatal, active, code, out = "idle", False, False, False, False, None, []
+        for kind, c in events:
+            c = c or "unknown"
+            if kind == "start" and not active:
+                wants, manual, active, code = True, False, True, None
+            elif kind == "started":
+                state = "listening"
+            elif kind == "result":
+                state, code = "processing", None
+            elif kind == "error" and not manual:
+                state, code = "error", c
+                if c != "no-speech":
+                    fatal, wants = True, False
+            elif kind == "end":
+                active = False
+                if manual:
+                    manual, state = False, "idle"
+                elif wants:
+                    active = True
+                elif fatal:
+                    fatal = False
+                else:
+                    state = "idle"
+            elif kind == "stop":
+                state, wants, manual, code = "idle", False, True, None
+            elif kind == "start_failed":
+                state, wants, active, code = "error", False, False, "start-failed"
+            elif kind == "unsupported":
+                state = "unsupported"
+            out.append((state, wants, manual, fatal, active, code))
+        return out
+
+    r = random.Random(1)
+    logs = {k: [(r.choice(voice.KINDS), r.choice(["no-speech", "network", "", None])) for _ in range(r.randrange(1, 40))] for k in range(12)}
+    rows = spark.createDataFrame([(k, n, kind, code) for k, log in logs.items() for n, (kind, code) in enumerate(log)], "s long, n long, kind string, code string")
+    got = {(x["s"], x["n"]): tuple(x[c] for c in ("state", "wants", "manual", "fatal", "active", "code")) for x in voice.session_states(rows, "s", "n").collect()}
+    assert got == {(k, n): x for k, log in logs.items() for n, x in enumerate(walk(log))}
+
+
+def test_queue_heads(spark):
+    got = fold.queue_head(spark.createDataFrame([(["a", "b", "c"],), ([""],)], "queue array<string>")).collect()
+    assert (got[0]["head"], got[0]["rest"], got[0]["hint"], got[0]["title"]) == ("a", ["b", "c"], "未認識：a　ほか2件", "未登録項目の可能性（ほか2件あります）")
+    assert (got[1]["rest"], got[1]["hint"], got[1]["title"]) == ([], "未認識：（項目名なし）", "未登録項目の可能性")
+
+
+def test_redelivered_utterances_count_once(spark, tmp_path):
+    said = ["HC15", "CO0.02", "ブーツ破れ", "エンジンオイル良好", "右リアウインカー球切れ交換"]
+    rows = [("i", k, [t]) for k, t in enumerate(said)]
+    for n, part in enumerate([rows[:3] + rows[:1], rows[1:4], rows[4:] + rows[:2]]):
+        spark.createDataFrame(part, session.SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        session.start(session.read(spark, str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "check"), str(tmp_path / "state")).awaitTermination()
+    assert session.logged(spark, str(tmp_path / "log")).count() == len(said)
+    columns = ["inspection_id", "item_id", "status", "front_rear", "value", "measurements", "note"]
+    key = lambda df: sorted(map(str, df.select(*columns).collect()))
+    batch = fold.snapshot(parse.choose_best(spark.createDataFrame(rows, session.SCHEMA), "inspection_id", "uid"), "inspection_id")
+    assert key(session.items(spark, str(tmp_path / "state"))) == key(batch) == key(session.current(spark, str(tmp_path / "log")))
 
 
 def test_store(spark):
