@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karakuri.llm.common import shared_folder, table
+from karakuri.llm.common import removed, shared_folder, table
 from karakuri.llm.decontaminate import decontamination_stage
 from karakuri.llm.near_copies import near_copy_stage
 from karakuri.llm.packing import packing_stage
@@ -25,9 +25,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents; each stage's rows are written as Parquet to the shared folder and reread."""
-    docs, base = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """Apply STAGES to documents; each stage's rows are written as Parquet to the shared folder and reread. A stage's
+    folder goes once the next one's is written; the last one stays, as the rows returned are read from it."""
+    docs, base, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", []
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{base}/{k}_{name}")
         docs = spark.read.parquet(path)
+        removed(spark, *before)
+        before = [path]
     return docs
