@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -23,6 +24,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DIGIT = re.compile(r"[0-9]")
+ASSIGNED = re.compile(r"(?:token|password|passwd|pwd|secret|key|apikey|api_key|bearer|auth|credentials?)[\"']?[\x20]?[=:]", re.I)
 # Words that announce personal data.
 CUES = {
     "secret": set("token password passwd pwd secret key apikey api_key bearer auth credential credentials".split()),
@@ -93,11 +95,12 @@ def _features(word: str, before: list[str], after: str) -> list[str]:
     out += ["long_hex"] if len(core) >= 20 and n >= 3 and re.fullmatch("[0-9A-Fa-f]+", core) else []
     out += ["long_mixed"] if len(core) >= 16 and n >= 3 and letters >= 3 and re.fullmatch("[0-9A-Za-z_+/=-]+", core) else []
     out += ["quoted"] if word[:1] in "\"'`" else []
+    out += [f"letters{min(len(core), 15) // 4}"] if core and not n and "@" not in core else []
     quad = core.split(".")
     out += ["quad"] if len(quad) == 4 and all(q.isascii() and q.isdigit() and len(q) <= 3 and int(q) <= 255 for q in quad) else []
-    if any(w in "=:" for w in before[:1]):
+    if any(w in "=:" or w[-1] in "=:" for w in before[:1]):
         out.append("assigned")
-        before = before[1:]
+        before = before[1:] if before[0] in "=:" else before
     for name, cues in CUES.items():
         if any(re.sub("[^a-z0-9_-]", "", w.lower()) in cues for w in before[:2]):
             out.append(f"cue_{name}")
@@ -105,12 +108,24 @@ def _features(word: str, before: list[str], after: str) -> list[str]:
 
 
 def graph(text: str) -> tuple[list[tuple[int, int]], list[list[str]], list[tuple[int, int]], list[tuple[int, int]]]:
-    """The field of one document: its nodes (words with a digit or @, as spans of their inner part), their
-    observations, chain edges between neighbours in the text, and skip edges between repeated or similar words."""
-    if "@" not in text and not DIGIT.search(text):
+    """The field of one document: its nodes, as spans of their inner part, their observations, chain edges between
+    neighbours in the text, and skip edges between repeated or similar words.
+
+    Nodes are the words with a digit or @, the words that are assigned to a word that announces a secret, and every
+    other place of these.
+    """
+    assigned = ("=" in text or ":" in text) and ASSIGNED.search(text)
+    if "@" not in text and not assigned and not DIGIT.search(text):
         return [], [], [], []
     matches = list(WORD.finditer(text))
     chosen = [k for k, m in enumerate(matches) if "@" in m[0] or DIGIT.search(m[0])]
+    if assigned:
+        ends = [m.end() for m in ASSIGNED.finditer(text)]
+        starts = [m.start() for m in matches]
+        values = {bisect_left(starts, e) for e in ends} - {len(matches)} - set(chosen)
+        inner = lambda k: matches[k][0][slice(*core_of(matches[k][0]))].casefold()
+        said = {inner(k) for k in values} - {""}
+        chosen = sorted({*chosen, *(k for k in range(len(matches)) if inner(k) in said)}) if said else chosen
     nodes, seen, chain, skip, last = [], [], [], [], {}
     for j, k in enumerate(chosen):
         word = matches[k][0]
@@ -148,6 +163,8 @@ def labelled_texts(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
             return [card(True)]
         if kind == "phone":
             return [f"+{r.randrange(1, 99)}", f"({digits(3)})", f"{digits(3)}-{digits(4)}"]
+        if kind == "secret" and r.random() < 0.3:
+            return ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH") for _ in range(r.randrange(8, 16)))]
         if kind == "secret":
             return ['"' + "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 64)))) + '"']
         return [r.choice([digits(4), digits(2), f"{digits(1)}.0.", f"{digits(1)},{digits(3)}", f"20{digits(2)}-0{r.randrange(1, 9)}-1{digits(1)}", card(False), f"A{digits(2)}", digits(7), f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(3)}-{digits(3)}"])]
@@ -164,13 +181,15 @@ def labelled_texts(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
         value = make(kind)
         for again in range(r.choice((1, 1, 2, 3))):
             say([r.choice(filler) for _ in range(r.randrange(2, 6))], "none")
-            cue = kind in CUES and r.random() < (0.9 if kind == "secret" and not again else 0.2)
+            cue = kind in CUES and (value[0].isalpha() and not again or r.random() < (0.9 if kind == "secret" and not again else 0.2))
             if cue:
                 say([r.choice(sorted(CUES[kind]))], "none")
                 say(["="] if kind == "secret" else [], "none")
             say([v + (r.choice(["", "", ".", ",", "!!"]) if v is value[-1] else "") for v in value], kind)
             if r.random() < 0.4:
                 say([r.choice(filler), *make("none")], "none")
+            if r.random() < 0.15:
+                say([r.choice(["token", "password", "key"]), r.choice(["=", ":"]), r.choice(filler)], "none")
         say([r.choice(filler)], "none")
         out.append((" ".join(words), labels))
     return out
@@ -284,7 +303,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *k
     """(id_col, *keep, base, spans): personal data of every whole text as arrays of (start, kind, end).
 
     base: the exact patterns; spans: these and what the field adds. The field is fitted when the operator is called. A
-    null text counts as empty and has empty arrays; rows with null or repeated ids are each searched.
+    null text counts as empty and has empty arrays; rows with null or repeated ids are each searched, texts of any length
+    whole; columns named base or spans are no part of the result unless kept under other names; an empty table gives an
+    empty result.
     """
     import pyarrow as pa
 
@@ -316,7 +337,9 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span is replaced by its kind in angle brackets; overlapping spans by that of the first. n_chars follows."""
+    """Every span is replaced by its kind in angle brackets; overlapping spans by that of the first. n_chars, if there is
+    one, follows. Null texts stay null, rows with null or repeated ids are each redacted, an empty table stays empty,
+    columns keep their names and order."""
     import pyarrow as pa
 
     model, names = fitted(), docs.columns
@@ -335,4 +358,5 @@ def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             texts = pa.array([t if t is None else redact(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], names=names)
 
-    return docs.mapInArrow(run, docs.schema).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names)
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else out

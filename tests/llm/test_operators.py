@@ -420,6 +420,44 @@ def test_field_finds_secrets_and_keeps_labels_alike():
     assert pii.all_spans("In 2021 we sold 12,500 of version 2.0. and 17 more", pii.fitted())[1] == []
 
 
+def test_secrets_of_letters_are_found_where_they_recur():
+    found = pii.all_spans("the password = qwertzuiopHG was sent, and later qwertzuiopHG again; token : the item is here", pii.fitted())[1]
+    assert [(s[1], s[2] - s[0]) for s in found] == [("secret", 12)] * 2
+    assert pii.all_spans("no password is needed and nothing else is said about it", pii.fitted())[1] == []
+
+
+def test_card_spans_equal_plain_patterns():
+    import re
+
+    r = random.Random(11)
+    card = re.compile(r"[0-9]([\x20-]?[0-9])+")
+    for _ in range(400):
+        text = " ".join(r.choice(["4539 1488 0343 6467", "x", "12-34", "4539148803436467", "5" * r.randrange(1, 25), "- 7", "0000-0000-0000"]) for _ in range(5))
+        digits = [(m.span(), re.sub("[ -]", "", m[0])) for m in card.finditer(text)]
+        assert [span for span, d in digits if 12 <= len(d) <= 19 and pii.luhn(d)] == [(s[0], s[2]) for s in pii.base_spans(text) if s[1] == "card"]
+
+
+def test_messages_equal_exact_inference():
+    import itertools
+
+    import numpy as np
+
+    model = pii.fitted()
+    names, w, t, u = model[0], *(np.asarray(m) for m in model[1:])
+    r = random.Random(4)
+    for chain, skip, most in (([(0, 1), (1, 2)], [], 0.02), ([(0, 1)], [(1, 3)], 0.02), ([(0, 1), (1, 2)], [(0, 2), (2, 3)], 0.15)):  # two trees, one loop
+        for _ in range(5):
+            seen = [r.sample(sorted(names), 4) for _ in range(4)]
+            score = np.array([w[[names[f] for f in row]].sum(axis=0) for row in seen])
+            exact = np.zeros((4, len(pii.LABELS)))
+            for y in itertools.product(range(len(pii.LABELS)), repeat=4):
+                p = np.exp(sum(score[i][k] for i, k in enumerate(y)) + sum(t[y[a]][y[b]] for a, b in chain) + sum(u[y[a]][y[b]] for a, b in skip))
+                for i, k in enumerate(y):
+                    exact[i][k] += p
+            exact /= exact.sum(axis=1, keepdims=True)
+            assert np.abs(pii.beliefs(seen, chain, skip, model) - exact).max() < most
+
+
 def test_field_is_right_on_held_out_remarks():
     right = total = 0
     for text, labels in pii.labelled_texts(150, seed=99):
