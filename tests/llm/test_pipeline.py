@@ -40,3 +40,20 @@ def test_operator_equals_checking_sql(spark, name):
     mine = queries.QUERIES[name](spark, DATA)
     rows = con.sql(f"SELECT {', '.join(mine.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
     assert Counter(map(tuple, mine.collect())) == Counter(rows)
+
+
+def test_pipeline_on_an_empty_table_and_on_odd_rows(spark, tmp_path):
+    item = "Which of the following planets has the largest mass in the whole of the solar system"
+    words = "some plain words that follow one another in a row without much sense but with enough of them to stay".split()
+    text = lambda k: " ".join(words[(n * (k + 3) + k) % len(words)] + ("" if n % 7 else str(k)) for n in range(40))
+    rows = [(1, text(1)), (2, text(1)), (3, f"{text(2)} {item} {text(3)}"), (3, text(4)), (None, text(5)), (None, None), (6, ""), (7, f"{text(6)} write to a.b@c.example.com now"), (7, f"{text(6)} write to a.b@c.example.com now")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    spark.createDataFrame([(9, item)], "item_id long, text string").write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    # copies go, the item goes though another row of its id stays, null and empty texts fail the base rules
+    assert sorted((str(r["doc_id"]), r["piece"]) for r in got) == [("1", 0), ("3", 0), ("7", 0), ("None", 0)]
+    for t in ("labels", "benchmark", "documents"):
+        spark.read.parquet(f"{tmp_path}/odd/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
