@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karakuri.llm.common import cut
-from karakuri.llm.simhash import near_duplicate_stage
+from karakuri.llm.common import cut, removed, shuffles_freed, written
+from karakuri.llm.simhash import group_heads, node_of, rows_of
 
 #: Words in a shingle, and the Jaccard similarity from which a document is a copy, as a fraction.
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
@@ -90,44 +90,58 @@ def _postings(sets: DataFrame) -> DataFrame:
     return kept.select("node", "n", "alone", F.posexplode("r").alias("k", "x")).select(F.col("x.key").alias("key"), "node", "n", (F.col("alone") + F.col("k")).alias("at"))
 
 
-def copies(nodes: DataFrame) -> DataFrame:
+def copies(nodes: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(node): the rows of nodes (node, text) to leave out, so that no two that stay have similar shingle sets.
 
-    In each round the leaders of a list of postings are compared with its other members, if sizes and places allow for
-    enough shared shingles. The greater node of a similar pair goes, and a leader is done with its list; rounds end when
-    no list has two members left, so every pair of a list that stays was compared.
+    only: (node), the rows that count. In each round the leaders of a list of postings are compared with its other
+    members, if sizes and places allow for enough shared shingles. The greater node of a similar pair goes, and a leader
+    is done with its list; rounds end when no list has two members left, so every pair of a list that stays was compared.
+    Tables between steps are written to the shared folder and deleted at the end; shuffle files go after each step.
     """
-    bands = cut(_mapped(nodes, bands_of, "keys").select("node", F.explode("keys").alias("key")))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    some = cut(bands.join(shared, "key", "left_semi").select("node").distinct())
-    sets = cut(_mapped(nodes.join(some, "node", "left_semi"), lambda x: x, "s"))
+    spark, paths = nodes.sparkSession, []
+
+    def kept(df, name="copies"):
+        table, path = written(df, name)
+        paths.append(path)
+        return table
+
     several = lambda df: df.join(df.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key", "left_semi")
-    alive = cut(several(cut(_postings(sets))))
-    gone, salts = some.limit(0), 1
-    while not alive.isEmpty():
-        salt = F.pmod(F.xxhash64("node"), F.lit(salts))
-        leaders = cut(alive.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("node", "n", "at")).alias("a")).select("key", "a.*").select("key", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "at")]))
-        least = (F.col("n") + F.col("_n")) * NUMERATOR  # shared shingles needed, times NUMERATOR + DENOMINATOR
-        can = (F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at")) * (NUMERATOR + DENOMINATOR) >= least) & (F.least("n", "_n") * DENOMINATOR >= F.greatest("n", "_n") * NUMERATOR)
-        pairs = alive.join(leaders, "key").where((F.col("node") != F.col("_node")) & can).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        same = F.size(F.array_intersect("sa", "sb"))
-        similar = same * DENOMINATOR >= (F.size("sa") + F.size("sb") - same) * NUMERATOR
-        found = cut(both.where(similar).select(F.col("b").alias("node")).distinct())
-        gone, salts = gone.unionByName(found), salts * GROWTH
-        left = alive.join(found, "node", "left_anti").join(leaders.select("key", F.col("_node").alias("node")), ["key", "node"], "left_anti")
-        alive = cut(several(left))
-    return gone.distinct()
+    with shuffles_freed(spark):
+        mapped = _mapped(nodes, bands_of, "keys")
+        mapped = mapped if only is None else mapped.join(only, "node", "left_semi")
+        bands = kept(mapped.select("node", F.explode("keys").alias("key")).distinct())
+        some = kept(several(bands).select("node").distinct())
+        sets = kept(_mapped(nodes.join(some, "node", "left_semi").dropDuplicates(["node"]), lambda x: x, "s"))
+        alive = kept(several(kept(_postings(sets))))
+        gone, salts = some.limit(0), 1
+        while not alive.isEmpty():
+            salt = F.pmod(F.xxhash64("node"), F.lit(salts))
+            leaders = alive.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("node", "n", "at")).alias("a")).select("key", "a.*")
+            leaders = kept(leaders.select("key", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "at")]))
+            least = (F.col("n") + F.col("_n")) * NUMERATOR  # shared shingles needed, times NUMERATOR + DENOMINATOR
+            can = (F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at")) * (NUMERATOR + DENOMINATOR) >= least) & (F.least("n", "_n") * DENOMINATOR >= F.greatest("n", "_n") * NUMERATOR)
+            pairs = alive.join(leaders, "key").where((F.col("node") != F.col("_node")) & can).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+            both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+            same = F.size(F.array_intersect("sa", "sb"))
+            similar = same * DENOMINATOR >= (F.size("sa") + F.size("sb") - same) * NUMERATOR
+            found = kept(both.where(similar).select(F.col("b").alias("node")).distinct())
+            gone, salts = gone.unionByName(found), salts * GROWTH
+            left = alive.join(found, "node", "left_anti").join(leaders.select("key", F.col("_node").alias("node")), ["key", "node"], "left_anti")
+            alive = kept(several(left))
+        out = cut(gone.distinct())
+    removed(spark, *paths)
+    return out
 
 
 def near_copy_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """near_duplicate_stage, and of what it leaves one document of each group whose five-word shingles are similar.
+    """One document of each group of near-duplicates stays (near_duplicate_stage), and of these one of each group whose
+    five-word shingles are similar.
 
     The smallest id stays, one without an id only if no other does. Blank texts have no shingles and are not compared;
     rows are told apart by id and text, so repeated ids and null ids are judged each by their own text; an empty table
     stays empty; columns keep their names and order, texts of any length are read whole.
     """
-    rows = cut(near_duplicate_stage(spark, docs, sf_dir))
-    node = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
-    named = rows.select(F.struct(*docs.columns).alias("_doc"), node.alias("node"), F.col("text").cast("string").alias("text"))
-    return named.join(copies(named.select("node", "text")), "node", "left_anti").select("_doc.*")
+    with shuffles_freed(spark):
+        heads = cut(group_heads(docs))
+    named = docs.select(node_of().alias("node"), F.col("text").cast("string").alias("text"))
+    return rows_of(docs, heads.join(copies(named, heads), "node", "left_anti"))

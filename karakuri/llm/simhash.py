@@ -186,6 +186,24 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def node_of(id_col: str = "doc_id", text_col: str = "text"):
+    """What tells rows of documents apart, and orders them: by id, those without one last, and 64 bits of the text's hash."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"))
+
+
+def group_heads(docs: DataFrame) -> DataFrame:
+    """(node): the least node of each group of near-duplicates among documents (doc_id, text)."""
+    prints = cut(fingerprints(docs.select(node_of().alias("node"), "text"), "node"))
+    rooted = rooted_classes(prints, F.min("id"))
+    return rooted.groupBy("root").agg(F.min("low").alias("node")).select("node")
+
+
+def rows_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of documents that are among the nodes, those that are equal in id and text once."""
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), node_of().alias("node"))
+    return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("_doc.*")
+
+
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: the one with the smallest id, one without an id only if none has any.
 
@@ -193,10 +211,4 @@ def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeats; rows equal in both stay once. A null text counts as empty; an empty table stays empty; columns keep their
     names and order.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).alias("node"), "text")
-    prints = cut(fingerprints(rows, "node"))
-    rooted = rooted_classes(prints, F.min("id"))
-    kept = rooted.groupBy("root").agg(F.min("low").alias("k")).select(F.col("k.none").alias("_none"), F.col("k.id").alias("_id"), F.col("k.h").alias("_h"))
-    found = rows.select("_doc", F.col("node.none").alias("none"), F.col("node.id").alias("id"), F.col("node.h").alias("h"))
-    same = (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("none") == F.col("_none"))
-    return found.join(kept, same, "left_semi").dropDuplicates(["none", "id", "h"]).select("_doc.*")
+    return rows_of(docs, group_heads(docs))
