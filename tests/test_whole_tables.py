@@ -1,4 +1,4 @@
-"""Queries that take the whole table although their checking SQL covers a part of it."""
+"""Queries that give every row of a table, and their order where they have one."""
 
 import os
 from collections import Counter
@@ -21,7 +21,7 @@ def rows_of(sql):
 def test_every_customer_gets_a_memo(spark):
     from karakuri.plans import catalog
 
-    whole = rows_of(catalog.ORACLE["summary_text"].replace(" WHERE c_custkey <= 200", ""))
+    whole = rows_of(catalog.ORACLE["summary_text"])
     assert len(whole) > 1000
     mine = catalog.QUERIES["summary_text"](spark, DATA).select("inspection_id", "memo").collect()
     assert Counter(map(tuple, mine)) == Counter(whole)
@@ -30,6 +30,6 @@ def test_every_customer_gets_a_memo(spark):
 def test_every_document_is_listed_newest_first(spark):
     from karakuri.plans import catalog
 
-    whole = rows_of(catalog.ORACLE["list_store"].replace(" WHERE id % 7 = 0", ""))
+    whole = rows_of(catalog.ORACLE["list_store"])
     assert len(whole) > 10000
     assert list(map(tuple, catalog.QUERIES["list_store"](spark, DATA).select("id", "updated_at", "total").collect())) == whole
