@@ -18,6 +18,8 @@ GROUP_TOLERANCES = 20
 PART_BYTES = 8 << 20
 #: Tasks that number parts, at most; each takes several parts if there are more.
 TASKS = 100_000
+#: The heavy prefixes are broadcast up to this many; beyond it rows are shuffled to them.
+BROADCAST_HEAVY = 100_000
 _MIN, _ONES = -(1 << 63), (1 << 64) - 1
 
 
@@ -121,6 +123,8 @@ def histogram_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id",
 
     heavy = placed(keys).groupBy("_shard", "_p0").agg(F.sum("_size").alias("b")).where(F.col("b") > 2 * PART_BYTES)
     deep = cut(heavy.select("_shard", "_p0", F.ceil(F.log2(F.col("b") / PART_BYTES)).cast("int").alias("_deep")))
+    if deep.count() <= BROADCAST_HEAVY:
+        deep = F.broadcast(deep)
 
     def parted(rows):
         """placed, and _p1: the first bits of the id's hash where the text's have too many bytes."""
